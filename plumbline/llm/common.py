@@ -45,12 +45,12 @@ def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
-def by_rows(df: DataFrame, columns: list[str], fn, schema: str, rows: int = 1000) -> DataFrame:
+def by_rows(df: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
     """``mapInArrow`` over the named columns only: ``fn(dict of column -> pyarrow array)`` gives a dict of columns.
 
     Extra input columns, whatever their names, are dropped before Python sees them.
     """
-    small_batches(df.sparkSession, rows)
+    small_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:

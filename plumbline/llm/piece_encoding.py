@@ -174,7 +174,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         ids = [m.encode(t or "") for t in cols["text"].to_pylist()]
         return {"doc_id": cols["doc_id"], "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([m.decode(x) for x in ids], pa.string())}
 
-    return by_rows(docs, ["doc_id", "text"], run, "doc_id long, ids array<int>, decoded string", 200)
+    return by_rows(docs, ["doc_id", "text"], run, "doc_id long, ids array<int>, decoded string")
 
 
 def encoding_digest(docs: DataFrame, path: str) -> DataFrame:

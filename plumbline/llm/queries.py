@@ -19,5 +19,17 @@ def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op5_piece_encoding": op5_piece_encoding}
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 4096)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
+
+
+QUERIES = {f.__name__: f for f in (op5_piece_encoding, op6_best_fit_packing, op8_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
