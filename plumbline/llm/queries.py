@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import table
+from plumbline.llm.sharding import oracle as sharding_oracle
+
+#: production parameters of the placement table: a prime number of slots, over a hundred for each shard
+SHARDS, SLOTS = 32, 4093
 
 
 def tokenizer_path(name: str) -> str:
@@ -13,6 +17,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.sharding import assign, shard_names
+
+    return assign(table(spark, sf_dir, "documents"), shard_names(SHARDS), SLOTS)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.piece_encoding import encoding_digest
 
@@ -31,5 +47,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op5_piece_encoding, op6_best_fit_packing, op8_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_quality_classifier, op5_piece_encoding, op6_best_fit_packing, op8_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding_oracle(SHARDS, SLOTS)}
