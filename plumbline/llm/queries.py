@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.sharding import assign, shard_names
 
@@ -47,5 +53,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_quality_classifier, op5_piece_encoding, op6_best_fit_packing, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_sharding, op4_quality_classifier, op5_piece_encoding, op6_best_fit_packing, op8_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding_oracle(SHARDS, SLOTS)}
