@@ -18,10 +18,13 @@ are broken by salt, doc_id, crc and piece, so lengths per sequence are determini
 from __future__ import annotations
 
 import bisect
-import re
+import unicodedata
 import zlib
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,10 +33,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import Memo, by_rows, stage, texts_of
 
 END_ID = 1
+SIGNS = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
-#: letters with signs at the end: the pre-tokenizer ends a run of letters before a sign
-WORD_SIGN = re.compile(rb"([a-z]+)([.,])")
-WORDS = re.compile(rb"[a-z]+")
 
 
 class WordCoder:
@@ -51,38 +52,53 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = {i for t, i in vocab.items() if t.endswith("</w>")}
-        self.memo = Memo(self.encode_word, limit=800_000)
+        self.memo = Memo(self.encode_word, limit=400_000)
+
+    @staticmethod
+    def letters(word: bytes) -> str | None:
+        """The word as the normalizer leaves it, if that is one run of letters."""
+        text = unicodedata.normalize("NFC", word.decode())
+        return text if text.lower().isalpha() else None
 
     def encode_word(self, word: bytes) -> bytes:
-        if m := WORD_SIGN.fullmatch(word):
-            return self.memo[m[1]] + self.memo[m[2]]
+        core = word.rstrip(SIGNS)
+        if 0 < len(core) < len(word) and self.letters(core):  # a run of letters ends where signs begin
+            return self.memo[core] + self.memo[word[len(core) :]]
         return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode new plain words with one call: each is one run of letters, so its ids end at the next word end."""
-        bare = {w[:-1] if WORD_SIGN.fullmatch(w) else w for w in words}
-        new = [w for w in bare - self.memo.keys() if len(w) <= self.memo.longest and WORDS.fullmatch(w)]
-        if len(new) < 2:
-            return
-        ids = self.tokenizer.encode(" ".join(x.decode() for x in new), add_special_tokens=False).ids
-        cuts = [k + 1 for k, i in enumerate(ids) if i in self.ends]
-        if len(cuts) != len(new):  # never with this vocabulary; then each word is encoded by itself
-            return
-        packed, at = array("I", ids).tobytes(), 0
-        if len(self.memo) + len(new) > self.memo.limit:
-            self.memo.clear()
-        for w, cut in zip(new, cuts, strict=True):
-            self.memo[w] = packed[4 * at : 4 * cut]
-            at = cut
-
-    def encode(self, text: bytes) -> bytes:
-        words = self.split(text)
-        return b"".join(map(self.memo.__getitem__, words))
+    def learn(self, unknown: set[bytes]) -> None:
+        """Encode new words of letters alone with few calls: each is one run of letters, so each ends at a word end.
 
-    @staticmethod
-    def split(text: bytes) -> list[bytes]:
-        # capitals in the tokenizer's own special strings do not occur; those are lower case
-        return text.lower().split()
+        Every word has at least one end, so where a block has as many ends as words, each has exactly one; else its
+        words are left to be encoded one by one.
+        """
+        cores = {w.rstrip(SIGNS) for w in unknown}
+        new = [w for w in cores if w and w not in self.memo and len(w) <= self.memo.longest and self.letters(w)]
+        if len(self.memo) + len(unknown) > self.memo.limit:
+            self.memo.clear()
+        for at in range(0, len(new), 512):
+            block = new[at : at + 512]
+            ids = self.tokenizer.encode(b" ".join(block).decode(), add_special_tokens=False).ids
+            cuts = [k for k, i in enumerate(ids, 1) if i in self.ends]
+            if len(cuts) == len(block):
+                packed, first = array("I", ids).tobytes(), 0
+                for word, cut in zip(block, cuts, strict=True):
+                    self.memo[word] = packed[4 * first : 4 * cut]
+                    first = cut
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Packed ids of each text.  Words that are new to the memo are gathered over all texts and learnt at once."""
+        get, unknown, split = self.memo.get, set(), []
+        for text in texts:
+            words = text.lower().split()  # the tokenizer's own special strings are lower case and without white space
+            parts = list(map(get, words))
+            unknown.update(compress(words, map(not_, parts)))
+            split.append((words, parts))
+        self.learn(unknown)
+        for words, parts in split:
+            for i in compress(range(len(parts)), map(not_, parts)):
+                parts[i] = self.memo[words[i]]
+            yield b"".join(parts)
 
 
 @lru_cache(maxsize=2)
@@ -96,11 +112,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
 
     def run(cols):
         c = coder(path)
-        texts = texts_of(cols["text"])
-        c.learn({w for t in texts for w in c.split(t)} - c.memo.keys())
+        coded = c.encode_all(texts_of(cols["text"]))
         out = {k: [] for k in ("doc_id", "row", "piece", "start", "length", "ids_crc32")}
-        for doc_id, row, text in zip(cols["doc_id"].to_pylist(), cols["row"].to_pylist(), texts, strict=True):
-            ids = c.encode(text) + end
+        for doc_id, row, ids in zip(cols["doc_id"].to_pylist(), cols["row"].to_pylist(), coded, strict=True):
+            ids += end
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
                 for name, v in (("doc_id", doc_id), ("row", row), ("piece", k), ("start", at // 4), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part))):
