@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.minhash import near_duplicates
 
@@ -65,5 +71,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_sharding, op4_quality_classifier, op5_piece_encoding, op6_best_fit_packing, op8_token_counts, op9_toxicity, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_sharding, op4_quality_classifier, op5_piece_encoding, op6_best_fit_packing, op8_token_counts, op9_toxicity, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding_oracle(SHARDS, SLOTS)}
