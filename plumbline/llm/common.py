@@ -61,6 +61,19 @@ def by_rows(df: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def rows_kept(docs: DataFrame, keep) -> DataFrame:
+    """The rows, with all their columns, for which ``keep(columns by name)`` (a boolean array for a batch) is true."""
+    small_batches(docs.sparkSession)
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keep({c: batch.column(i) for i, c in enumerate(names)})))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null text is an empty one."""
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]

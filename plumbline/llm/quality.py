@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import by_rows, held_out, texts_of
+from plumbline.llm.common import by_rows, held_out, rows_kept, texts_of
 
 WORD_SPACE = 1 << 14
 FACTORS = 8
@@ -216,5 +216,18 @@ def score(docs: DataFrame, machine: Machine, modulus: int = 4, remainder: int =
     return scored.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, threshold: float = 0.7) -> DataFrame:
+    """The documents predicted to be good, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_rows))
+    named = "n_chars" in docs.columns
+
+    def keep(cols):
+        n = cols["n_chars"] if named else pa.nulls(len(cols["text"]))
+        stats, words = _rows({"text": cols["text"], "n_chars": n})
+        return shared.value.score(*assemble(shared.value, stats, words)) >= threshold
+
+    return rows_kept(docs, keep)
+
+
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000) -> DataFrame:
     return score(docs, train(docs, labels, train_rows))

@@ -53,6 +53,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 4096)
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.top_k import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, scale=256.0, every=50)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.token_counts import token_counts
 
@@ -71,5 +77,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_sharding, op4_quality_classifier, op5_piece_encoding, op6_best_fit_packing, op8_token_counts, op9_toxicity, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_sharding, op4_quality_classifier, op5_piece_encoding, op6_best_fit_packing, op7_exact_top_k, op8_token_counts, op9_toxicity, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding_oracle(SHARDS, SLOTS)}

@@ -332,3 +332,30 @@ def removal_digest(docs: DataFrame) -> DataFrame:
         return {"doc_id": cols["doc_id"]} | {k: pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()}
 
     return by_rows(_with_spans(identified(docs)), ["doc_id", "text", "spans"], run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with repeated passages taken out of text (and n_chars, where there is one, counted anew).
+
+    Where a passage begins or ends inside a character, what is left of the character goes too.
+    """
+    names = docs.columns
+    did, rid = F.coalesce("doc_id", F.lit(-1)).alias("_did"), F.xxhash64("doc_id", "text").alias("_rid")
+    spans = stage(repeated_spans(identified(docs)), "spans").withColumnsRenamed({"did": "_did", "rid": "_rid", "spans": "_spans"})
+    rows = docs.select("*", did, rid).join(spans.hint("shuffle_hash"), ["_did", "_rid"], "left").select(*names, "_spans")
+    small_batches(docs.sparkSession)
+    schema = docs.schema
+
+    def run(batches):
+        for batch in batches:
+            cols = {c: batch.column(i) for i, c in enumerate(names)}
+            texts = []
+            for text, spans in zip(cols["text"].cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                texts.append(kept_bytes(text, merged(spans)).decode("utf-8", "ignore") if text and spans else text if text is None else text.decode())
+            cols["text"] = pa.array(texts, pa.string())
+            if "n_chars" in cols:
+                counted = pa.array([None if t is None else len(t) for t in texts], cols["n_chars"].type)
+                cols["n_chars"] = counted
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
+
+    return rows.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import by_rows, held_out, stage, texts_of
+from plumbline.llm.common import by_rows, held_out, rows_kept, stage, texts_of
 
 WINDOW, STRIDE = 24, 12
 WORD_SPACE, GRAM_SPACE = 1 << 14, 1 << 15
@@ -393,5 +393,21 @@ def score(docs: DataFrame, network: Network | None, modulus: int = 3, remainder:
     return scored.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def clean_documents(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, threshold: float = 0.7) -> DataFrame:
+    """The documents not predicted to be toxic, with all their columns."""
+    network = train(docs, labels, train_rows)
+    if network is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+    holder: list[Scorer] = []
+
+    def keep(cols):
+        if not holder:
+            holder.append(Scorer(shared.value))
+        return holder[0].scores(texts_of(cols["text"])) < threshold
+
+    return rows_kept(docs, keep)
+
+
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = 3000) -> DataFrame:
     return score(docs, train(docs, labels, train_rows))
