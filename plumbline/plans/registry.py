@@ -1,4 +1,11 @@
 """Every registered query of the reference's own operators, with its DuckDB SQL."""
 
+from __future__ import annotations
+
+from plumbline.plans import adjustment, evaluation, geometry, measurement
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (measurement, adjustment, evaluation, geometry):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
