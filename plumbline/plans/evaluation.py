@@ -106,12 +106,12 @@ def arm_means(spark, d):
     return E.arm_means(V.arm(spark, d), "arm", ["psnr"]).select("arm", r6(F.col("psnr"), "psnr"))
 
 
-DELTA = "delta AS (SELECT a.scene, a.img, a.arm, round(a.psnr - b.psnr, 6) AS delta FROM arm a JOIN arm b ON a.scene = b.scene AND a.img = b.img AND b.arm = '1-URGENT' WHERE a.arm <> '1-URGENT')"
+DELTA = "delta AS (SELECT a.scene, a.img, a.arm, round(a.psnr - b.psnr, 9) AS delta FROM arm a JOIN arm b ON a.scene = b.scene AND a.img = b.img AND b.arm = '1-URGENT' WHERE a.arm <> '1-URGENT')"
 
 
 def _deltas(spark, d):
     got = E.paired_deltas(V.arm(spark, d), ["scene", "img"], "arm", V.BASELINE, "psnr")
-    return got.withColumn("delta", F.round("delta", 6))
+    return got.withColumn("delta", F.round("delta", 9))
 
 
 def _delta_sql(body):

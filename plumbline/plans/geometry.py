@@ -40,7 +40,7 @@ def rotation_angle(spark, d):
     return V.pose(spark, d).select("scene", "frame", F.round(G.rotation_angle(F.col("est_r"), F.col("gt_r")), 4).alias("angle"))
 
 
-@query(V.sql(["pose"], f"SELECT scene, frame, round(-c[1], 6) AS x, round(-c[2], 6) AS y, round(-c[3], 6) AS z FROM (SELECT scene, frame, {s_mv('rt', 'est_t')} AS c FROM (SELECT *, {s_t('est_r')} AS rt FROM pose))"))
+@query(V.sql(["pose"], f"SELECT scene, frame, round(0 - c[1], 6) AS x, round(0 - c[2], 6) AS y, round(0 - c[3], 6) AS z FROM (SELECT scene, frame, {s_mv('rt', 'est_t')} AS c FROM (SELECT *, {s_t('est_r')} AS rt FROM pose))"))
 def camera_centres(spark, d):
     c = G.camera_centre(F.col("est_r"), F.col("est_t"))
     return V.pose(spark, d).select("scene", "frame", c.alias("c")).select("scene", "frame", *(r6(F.get("c", i), n) for i, n in enumerate("xyz")))

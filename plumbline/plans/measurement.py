@@ -29,7 +29,7 @@ def unimodal_depth(spark, d):
     return kept.groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.median(F.get("modes", 0).cast("double")), 5).alias("median_depth"))
 
 
-@query(V.sql(["stack", "kp"], f"""SELECT image_id, point2D_idx::BIGINT AS point2D_idx, m::BIGINT AS mode, round(means[m * 16 + v * 4 + u + 1], 5) AS depth, round(0.1::DOUBLE * means[m * 16 + v * 4 + u + 1], 5) AS sigma
+@query(V.sql(["stack", "kp"], f"""SELECT image_id, point2D_idx::BIGINT AS point2D_idx, m::BIGINT AS mode, round(means[m * 16 + v * 4 + u + 1]::FLOAT::DOUBLE, 5) AS depth, round((0.1::DOUBLE * means[m * 16 + v * 4 + u + 1])::FLOAT::DOUBLE, 5) AS sigma
 FROM (SELECT k.image_id, point2D_idx, means, {PIXEL.format('x', 3)} AS u, {PIXEL.format('y', 3)} AS v FROM kp k JOIN stack USING (image_id)), range(4) r(m)"""))
 def mixture_stack_depth(spark, d):
     rows = sampling.mixture_stack(V.stack(spark, d), V.kp(spark, d))
