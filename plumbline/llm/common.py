@@ -74,6 +74,14 @@ def rows_kept(docs: DataFrame, keep) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with bars after it until no column has it (names are compared without regard to case)."""
+    lowered = {x.lower() for x in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null text is an empty one."""
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]

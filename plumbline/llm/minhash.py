@@ -226,6 +226,5 @@ def near_duplicates(docs: DataFrame, block_rows: int = 256) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates, with all its columns; rows without a doc_id stay."""
     kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    held = docs.join(stage(kept, "kept-ids").hint("shuffle_hash"), "doc_id", "left_semi").withColumn("_text", F.xxhash64("text"))
-    once = held.dropDuplicates(["doc_id", "_text"]).select(docs.columns)
-    return once.unionByName(docs.filter("doc_id IS NULL"))
+    held = docs.join(stage(kept, "kept-ids").hint("shuffle_hash"), "doc_id", "left_semi")
+    return held.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id IS NULL"))

@@ -52,6 +52,7 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = {i for t, i in vocab.items() if t.endswith("</w>")}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = Memo(self.encode_word, limit=400_000)
 
     @staticmethod
@@ -64,7 +65,10 @@ class WordCoder:
         core = word.rstrip(SIGNS)
         if 0 < len(core) < len(word) and self.letters(core):  # a run of letters ends where signs begin
             return self.memo[core] + self.memo[word[len(core) :]]
-        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        return self.encode_whole(word)
+
+    def encode_whole(self, text: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
     def learn(self, unknown: set[bytes]) -> None:
         """Encode new words of letters alone with few calls: each is one run of letters, so each ends at a word end.
@@ -90,12 +94,19 @@ class WordCoder:
         """Packed ids of each text.  Words that are new to the memo are gathered over all texts and learnt at once."""
         get, unknown, split = self.memo.get, set(), []
         for text in texts:
-            words = text.lower().split()  # the tokenizer's own special strings are lower case and without white space
+            low = text.lower()
+            if b"<|" in low and any(low.count(s) != text.count(s) for s in self.special):
+                split.append((None, self.encode_whole(text)))  # special only in lower case: nothing may be lowered first
+                continue
+            words = low.split()  # the tokenizer's own special strings hold no white space
             parts = list(map(get, words))
             unknown.update(compress(words, map(not_, parts)))
             split.append((words, parts))
         self.learn(unknown)
         for words, parts in split:
+            if words is None:
+                yield parts
+                continue
             for i in compress(range(len(parts)), map(not_, parts)):
                 parts[i] = self.memo[words[i]]
             yield b"".join(parts)

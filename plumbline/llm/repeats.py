@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import by_rows, small_batches, stage, texts_of
+from plumbline.llm.common import by_rows, small_batches, stage, texts_of, unused
 
 LENGTH, GRAM, BLOCK = 400, 64, 50
 SEGMENT = 1 << 18
@@ -295,7 +295,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = cold.mapInArrow(_merge_partition, "key long, content long, low int, high int")
     found = found.unionByName(_counted_windows(data.filter(F.col("kinds") > HOT_RUNS)))
     found = mixed.join(found, ["key", "content"]).select("did", "rid", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
-    return whole.unionByName(found).groupBy("did", "rid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    # rows that repeat a document in full have the same spans: each is held once
+    return whole.unionByName(found).groupBy("did", "rid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -340,9 +341,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Where a passage begins or ends inside a character, what is left of the character goes too.
     """
     names = docs.columns
-    did, rid = F.coalesce("doc_id", F.lit(-1)).alias("_did"), F.xxhash64("doc_id", "text").alias("_rid")
-    spans = stage(repeated_spans(identified(docs)), "spans").withColumnsRenamed({"did": "_did", "rid": "_rid", "spans": "_spans"})
-    rows = docs.select("*", did, rid).join(spans.hint("shuffle_hash"), ["_did", "_rid"], "left").select(*names, "_spans")
+    did, rid, gone = (unused(x, names) for x in ("_did", "_rid", "_gone"))
+    spans = stage(repeated_spans(identified(docs)), "spans").withColumnsRenamed({"did": did, "rid": rid, "spans": gone})
+    rows = docs.select("*", F.coalesce("doc_id", F.lit(-1)).alias(did), F.xxhash64("doc_id", "text").alias(rid))
+    rows = rows.join(spans.hint("shuffle_hash"), [did, rid], "left").select(*names, gone)
     small_batches(docs.sparkSession)
     schema = docs.schema
 
