@@ -1,6 +1,6 @@
 """Incremental ingest: new bundle files, as they appear, become measurement rows exactly once.
 
-The reference has no streams; this is its ingest for folders that still fill.  Each micro-batch joins the new files
+For folders that still fill.  Each micro-batch joins the new files
 with the (static) images and keypoints, samples, and publishes the images it brought by replacing their partitions, so
 a batch that is repeated after a failure writes the same rows again.
 """
