@@ -106,12 +106,12 @@ def arm_means(spark, d):
     return E.arm_means(V.arm(spark, d), "arm", ["psnr"]).select("arm", r6(F.col("psnr"), "psnr"))
 
 
-DELTA = "delta AS (SELECT a.scene, a.img, a.arm, round(a.psnr - b.psnr, 9) AS delta FROM arm a JOIN arm b ON a.scene = b.scene AND a.img = b.img AND b.arm = '1-URGENT' WHERE a.arm <> '1-URGENT')"
+DELTA = "delta AS (SELECT a.scene, a.img, a.arm, round(a.psnr - b.psnr, 6) AS delta FROM arm a JOIN arm b ON a.scene = b.scene AND a.img = b.img AND b.arm = '1-URGENT' WHERE a.arm <> '1-URGENT')"
 
 
 def _deltas(spark, d):
     got = E.paired_deltas(V.arm(spark, d), ["scene", "img"], "arm", V.BASELINE, "psnr")
-    return got.withColumn("delta", F.round("delta", 9))
+    return got.withColumn("delta", F.round("delta", 6))
 
 
 def _delta_sql(body):
@@ -123,21 +123,21 @@ def paired_delta(spark, d):
     return _deltas(spark, d)
 
 
-_cells = ", ".join(f"round(avg(CASE WHEN arm = '{a}' THEN delta END), 10) AS \"{a}\"" for a in V.ARMS[1:])
+_cells = ", ".join(f"round(avg(CASE WHEN arm = '{a}' THEN delta END), 5) AS \"{a}\"" for a in V.ARMS[1:])
 _inner = ", ".join(f"avg(CASE WHEN arm = '{a}' THEN delta END) AS \"{a}\"" for a in V.ARMS[1:])
-_foot = lambda f: ", ".join(f'round({f}("{a}"), 10)' for a in V.ARMS[1:])
+_foot = lambda f: ", ".join(f'round({f}("{a}"), 5)' for a in V.ARMS[1:])
 
 
 @query(_delta_sql(f"SELECT scene::VARCHAR AS scene, {_cells} FROM delta GROUP BY scene UNION ALL SELECT 'MEAN', {_foot('avg')} FROM (SELECT {_inner} FROM delta GROUP BY scene) UNION ALL SELECT 'MEDIAN', {_foot('median')} FROM (SELECT {_inner} FROM delta GROUP BY scene)"))
 def scene_arm_pivot(spark, d):
     got = E.scene_table(_deltas(spark, d), "scene", "arm", V.ARMS[1:])
-    return got.select("scene", *(F.round(F.col(f"`{a}`"), 10).alias(a) for a in V.ARMS[1:]))
+    return got.select("scene", *(F.round(F.col(f"`{a}`"), 5).alias(a) for a in V.ARMS[1:]))
 
 
-@query(_delta_sql("SELECT arm, count_if(delta > 0.5) AS win, count_if(delta BETWEEN -0.5 AND 0.5) AS neutral, count_if(delta < -0.5) AS loss, round(avg(delta), 10) AS mean, round(median(delta), 10) AS median, round(CASE WHEN count_if(delta < -0.5) > 0 THEN count_if(delta > 0.5) / count_if(delta < -0.5) END, 5) AS ratio FROM delta GROUP BY arm"))
+@query(_delta_sql("SELECT arm, count_if(delta > 0.5) AS win, count_if(delta BETWEEN -0.5 AND 0.5) AS neutral, count_if(delta < -0.5) AS loss, round(avg(delta), 5) AS mean, round(median(delta), 5) AS median, round(CASE WHEN count_if(delta < -0.5) > 0 THEN count_if(delta > 0.5) / count_if(delta < -0.5) END, 5) AS ratio FROM delta GROUP BY arm"))
 def win_loss(spark, d):
     got = E.win_loss(_deltas(spark, d), "arm", 0.5)
-    return got.select("arm", "win", "neutral", "loss", *(F.round(c, 10).alias(c) for c in ("mean", "median")), F.round("ratio", 5).alias("ratio"))
+    return got.select("arm", "win", "neutral", "loss", *(F.round(c, 5).alias(c) for c in ("mean", "median")), F.round("ratio", 5).alias("ratio"))
 
 
 DIFF = "diff AS (SELECT g.scene % 3 AS placement, round(g.delta - u.delta, 3) AS diff FROM delta g JOIN delta u USING (scene, img) WHERE g.arm = '3-MEDIUM' AND u.arm = '2-HIGH')"

@@ -75,10 +75,10 @@ SQL["meas"] = """SELECT l_returnflag AS sensor, l_orderkey % 500 AS image_id, l_
 def arm(spark, d) -> DataFrame:
     """Metric of an image in a scene under an arm: mean order prices."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    return o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("scene"), F.col("o_orderpriority").alias("arm"), (F.col("o_custkey") % 50).alias("img")).agg((F.avg("o_totalprice") / 10000).alias("psnr"))
+    return o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("scene"), F.col("o_orderpriority").alias("arm"), (F.col("o_custkey") % 50).alias("img")).agg((F.avg("o_totalprice") / 9973).alias("psnr"))
 
 
-SQL["arm"] = "SELECT c_nationkey AS scene, o_orderpriority AS arm, o_custkey % 50 AS img, avg(o_totalprice) / 10000 AS psnr FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"
+SQL["arm"] = "SELECT c_nationkey AS scene, o_orderpriority AS arm, o_custkey % 50 AS img, avg(o_totalprice) / 9973 AS psnr FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"
 ARMS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 BASELINE = ARMS[0]
 
