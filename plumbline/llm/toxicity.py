@@ -2,7 +2,7 @@
 
 Method.  A text is read in all overlapping windows of ``WINDOW`` words, ``STRIDE`` apart.  A word enters as a learnt
 vector of its hash (word input) and as the mean and the maximum of learnt vectors of its hashed character 3- to
-5-grams (character input).  Two gated recurrent networks read the window forwards and backwards, attention pools
+5-grams and beginnings of up to 12 bytes (character input).  Two gated recurrent networks read the window forwards and backwards, attention pools
 their states, and a logistic unit scores the window; a document's score is that of its worst window.
 
 The network is trained in numpy, on the driver, on a bounded sample: at most ``train_rows`` toxic and as many other
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import by_rows, held_out, rows_kept, stage, texts_of
 
 WINDOW, STRIDE = 24, 12
-WORD_SPACE, GRAM_SPACE = 1 << 14, 1 << 15
+WORD_SPACE, GRAM_SPACE = 1 << 14, 1 << 16
+#: n-grams of bytes: all of ``SHORT`` to ``FULL``, and at the beginning of a word (blank included) to ``PREFIX``
+SHORT, FULL, PREFIX = 3, 5, 12
 DIM, HIDDEN, ATTEND = 4, 8, 8
 INPUT = 3 * DIM
 SIGNS = b".,;:!?\"'()[]{}|*#&$%"
@@ -40,7 +42,7 @@ SCORE_WINDOWS = 4096
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of words, and where each word's begin; a blank marks either end of a word."""
-    data = np.frombuffer(b" " + b" ".join(words) + b"    ", np.uint8).astype(np.uint64) + np.uint64(1)
+    data = np.frombuffer(b" " + b" ".join(words) + b" " * PREFIX, np.uint8).astype(np.uint64) + np.uint64(1)
     sizes = np.array([len(w) for w in words])
     begin = np.cumsum(sizes + 1) - sizes - 1  # the blank before the word
     owner = np.repeat(np.arange(len(words)), sizes + 1)
@@ -49,13 +51,17 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     length = sizes[owner] + 2  # blanks included
     ids, owners = [], []
     hashed = np.zeros(n, np.uint64)
-    for k in range(5):
-        hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + data[k : k + n]
-        if k >= 2:
-            ok = inner + k + 1 <= length
-            x = hashed * np.uint64(0xBF58476D1CE4E5B9)
-            ids.append(((x >> np.uint64(40)) & np.uint64(GRAM_SPACE - 1)).astype(np.int64)[ok])
-            owners.append(owner[ok])
+    at = np.arange(n)
+    for k in range(PREFIX):
+        if k == FULL:  # from here on beginnings only
+            at = np.flatnonzero(inner == 0)
+            hashed = hashed[at]
+        hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + data[at + k]
+        if k >= SHORT - 1:
+            ok = (inner + k + 1 <= length)[at]
+            x = hashed[ok] * np.uint64(0xBF58476D1CE4E5B9)
+            ids.append(((x >> np.uint64(40)) & np.uint64(GRAM_SPACE - 1)).astype(np.int64))
+            owners.append(owner[at[ok]])
     ids, owners = np.concatenate(ids), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     return ids[order], np.searchsorted(owners[order], np.arange(len(words)))
