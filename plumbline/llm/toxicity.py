@@ -20,6 +20,7 @@ are ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,6 +86,19 @@ def window_starts(n: int) -> range:
     return range(0, max(1, n - WINDOW + STRIDE), STRIDE)
 
 
+def parts_of(text: bytes) -> Iterator[bytes]:
+    """Parts of up to ``VOCABULARY`` bytes, or of one window, that have the windows of the whole text between them."""
+    words = words_of(text)
+    starts = np.array(window_starts(len(words)))
+    ends = np.minimum(starts + WINDOW, len(words))
+    total = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words], dtype=np.int64)])
+    i = 0
+    while i < len(starts):
+        to = max(i + 1, int(np.searchsorted(total[ends], total[starts[i]] + VOCABULARY, "right")))
+        yield b" ".join(words[starts[i] : ends[to - 1]])
+        i = to
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -279,15 +293,15 @@ class Scorer:
             while to < len(texts) and (to == at or size + len(texts[to]) <= VOCABULARY):
                 size += len(texts[to])
                 to += 1
-            out.append(self._scores(texts[at:to]))
+            group = texts[at:to]
+            if size > VOCABULARY:  # one huge text
+                out.append(np.max([self._scores([part]) for part in parts_of(group[0])], axis=0))
+            else:
+                out.append(self._scores(group))
             at = to
         return np.concatenate(out) if out else np.empty(0)
 
     def _scores(self, texts: list[bytes]) -> np.ndarray:
-        if len(texts) == 1 and len(texts[0]) > VOCABULARY:  # one huge text: in parts that overlap by a window
-            words = words_of(texts[0])
-            step = VOCABULARY // 2 // STRIDE * STRIDE
-            return np.max([self._scores([b" ".join(words[i : i + step + WINDOW])]) for i in range(0, max(1, len(words)), step)], axis=0)
         numbers = self.numbers(texts)
         first, count, flat = [], [], np.concatenate([*numbers, np.zeros(WINDOW, np.int32)])
         base = 0
