@@ -13,10 +13,19 @@ def strided(names: DataFrame, keys: list[str], name: str, stride: int) -> DataFr
     return kept.withColumn("seq", (F.col("_p") / max(1, stride)).cast("int")).drop("_p")
 
 
-def exhaustive_pairs(images: DataFrame, keys: list[str]) -> DataFrame:
-    """All pairs id_a < id_b within each group; the result itself is all pairs, as asked."""
-    a = images.select(*keys, F.col("image_id").alias("id_a"))
-    return a.join(images.select(*keys, F.col("image_id").alias("id_b")), keys).filter("id_a < id_b")
+def exhaustive_pairs(images: DataFrame, keys: list[str], block: int = 1024) -> DataFrame:
+    """All pairs id_a < id_b within each group; the result itself is all pairs, as asked.
+
+    A group is dealt into blocks of about ``block`` images by a hash of the id and joined block by block, so that no
+    task holds the pairs of a whole group.
+    """
+    whole = images.select(*keys, "image_id").filter(F.col("image_id").isNotNull())
+    sizes = whole.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    dealt = whole.join(sizes, keys).withColumn("_at", F.pmod(F.xxhash64("image_id"), F.col("_n")).cast("int"))
+    a = dealt.select(*keys, F.col("image_id").alias("_a"), F.col("_at").alias("_p"), F.explode(F.sequence("_at", F.col("_n") - 1)).alias("_q"))
+    b = dealt.select(*keys, F.col("image_id").alias("_b"), F.explode(F.sequence(F.lit(0), "_at")).alias("_p"), F.col("_at").alias("_q"))
+    pairs = a.join(b, [*keys, "_p", "_q"]).filter("_p < _q OR _a < _b")
+    return pairs.select(*keys, F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"))
 
 
 def sequential_pairs(images: DataFrame, keys: list[str], overlap: int) -> DataFrame:

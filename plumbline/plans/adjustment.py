@@ -174,6 +174,11 @@ def initial_pairs(spark, d):
     return pairing.initial_pairs(V.obs(spark, d).filter("image_id < 60"), 2)
 
 
+@query(V.sql(["seen"], """SELECT a.image_id AS id_a, b.image_id AS id_b, count(*) AS shared FROM seen a JOIN seen b ON a.point3D_id = b.point3D_id AND a.image_id < b.image_id GROUP BY ALL HAVING count(*) >= 2"""))
+def initial_pairs_whole(spark, d):
+    return pairing.initial_pairs(V.seen(spark, d), 2)
+
+
 @query(V.sql(["obs"], """SELECT image_id, count(DISTINCT point3D_id) AS visible FROM obs WHERE image_id >= 20 AND point3D_id IN (SELECT point3D_id FROM obs WHERE image_id < 20) GROUP BY 1 HAVING count(DISTINCT point3D_id) >= 2"""))
 def next_images(spark, d):
     o = V.obs(spark, d)
@@ -187,6 +192,12 @@ def exhaustive_pairs(spark, d):
     return pairing.exhaustive_pairs(images, ["scene"])
 
 
+@query("SELECT c_nationkey AS scene, a.c_custkey AS id_a, b.c_custkey AS id_b FROM customer a JOIN customer b USING (c_nationkey) WHERE a.c_custkey < b.c_custkey")
+def exhaustive_pairs_whole(spark, d):
+    images = V.table(spark, d, "customer").select(F.col("c_nationkey").alias("scene"), F.col("c_custkey").alias("image_id"))
+    return pairing.exhaustive_pairs(images, ["scene"])
+
+
 @query("""SELECT a.scene, a.id AS id_a, b.id AS id_b FROM (SELECT c_nationkey AS scene, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS rn FROM customer) a
 JOIN (SELECT c_nationkey AS scene, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS rn FROM customer) b ON a.scene = b.scene AND b.rn BETWEEN a.rn + 1 AND a.rn + 5""")
 def sequential_pairs(spark, d):

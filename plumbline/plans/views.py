@@ -138,6 +138,16 @@ SQL["obs"] = """SELECT image_id, coalesce(point3D_id, 900)::INT AS point2D_idx,
     SELECT l_orderkey % 300 AS image_id, CASE WHEN l_quantity > 5 THEN l_partkey % 900 END AS point3D_id, min(l_extendedprice) AS x FROM lineitem GROUP BY ALL)"""
 
 
+def seen(spark, d) -> DataFrame:
+    """Observation graph that grows with the tables: every customer is an image, every part it ordered a point."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    rows = li.join(o, li.l_orderkey == o.o_orderkey)
+    return rows.select(F.col("o_custkey").alias("image_id"), F.when(F.col("l_quantity") > 5, F.col("l_partkey")).alias("point3D_id")).distinct()
+
+
+SQL["seen"] = """SELECT DISTINCT o_custkey AS image_id, CASE WHEN l_quantity > 5 THEN l_partkey END AS point3D_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
 def images(spark, d) -> DataFrame:
     """Images 0..299: a frame for every image, four cameras."""
     n = F.col("o_orderkey") % 300
