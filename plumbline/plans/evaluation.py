@@ -101,6 +101,11 @@ def all_arms_scenes(spark, d):
     return E.complete_groups(V.arm(spark, d).filter("img < 3"), "scene", "arm", 5)
 
 
+@query(V.sql(["arm"], "SELECT scene FROM arm GROUP BY scene HAVING count(DISTINCT arm) = 5"))
+def all_arms_scenes_whole(spark, d):
+    return E.complete_groups(V.arm(spark, d), "scene", "arm", 5)
+
+
 @query(V.sql(["arm"], "SELECT arm, round(avg(psnr), 6) AS psnr FROM arm GROUP BY arm"))
 def arm_means(spark, d):
     return E.arm_means(V.arm(spark, d), "arm", ["psnr"]).select("arm", r6(F.col("psnr"), "psnr"))
