@@ -1,4 +1,4 @@
-"""Operator 10: removal of repeated passages by merging shard Burrows-Wheeler transforms.
+"""Operator 10: removal of repeated passages by anchor runs and refinement of their windows by hash symbols.
 
 A byte goes where a string of ``LENGTH`` bytes that covers it starts anywhere else in the corpus, in another document
 or in the same one.  The work is on every window of ``LENGTH`` bytes, in three steps.
@@ -8,15 +8,13 @@ or in the same one.  The work is on every window of ``LENGTH`` bytes, in three s
    equal places, so only runs whose anchor string occurs twice can hold repeats.  Where all runs of an anchor string
    are equal, all their windows repeat.  This is counting and joining of 64-bit hashes, with partial aggregation.
 2. Runs of an anchor string that differ are read as texts over an alphabet of ``BLOCK``-byte blocks (a window is
-   ``LENGTH / BLOCK`` symbols).  Each shard of runs is put into the order of its Burrows-Wheeler transform; the
-   shards are merged by refining their interleave, symbol by symbol: suffixes in one interval at depth p are dealt
-   stably by their next symbol, the depth at which neighbours part is their common prefix, and suffixes are never
-   sorted anew against each other.  Intervals that still hold two suffixes at depth ``LENGTH / BLOCK`` are repeats.
+   ``LENGTH / BLOCK`` symbols, each a hash).  Suffixes in one interval at depth p are dealt by their next symbol, which
+   sorts all that are live anew in each round.  No transform (column of preceding symbols), interleave or common prefix
+   is kept.  Intervals that still hold two suffixes at depth ``LENGTH / BLOCK`` are repeats.
 3. The repeated windows of a run go back to all documents that hold the run, and each document's bytes are removed.
 
-The transform covers the differing runs alone and stops at the depth of a window: over whole texts at byte depth the
-refinement would pass over the corpus once for each of 400 bytes.  Runs of one anchor string meet in one task; for an
-anchor with more than ``HOT_RUNS`` different runs the windows are counted by hash, spread over all tasks.
+The refinement covers the differing runs alone and stops at the depth of a window.  Runs of one anchor string meet in
+one task; for an anchor with more than ``HOT_RUNS`` different runs the windows are counted by hash, spread over all tasks.
 
 Defined results: a null text is empty; texts shorter than a window keep all bytes; repeated rows are repeats of each
 other; an empty table gives an empty one; extra columns are ignored (the stage form keeps them).  Rows are told apart
@@ -160,17 +158,16 @@ def shard_order(symbols: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
 
 
 def merge_shards(symbols: np.ndarray, shards: list[np.ndarray]) -> np.ndarray:
-    """Suffixes whose common prefix with another one reaches a window, from the interleave of ordered shards.
+    """Suffixes whose common prefix with another one reaches a window, by refinement symbol by symbol.
 
-    Before the first round the interleave is shard after shard, in one interval.  Round p deals each interval by
-    symbol p, stably, so that the shards' own orders stand; a suffix alone in its interval has its final common prefix,
-    p, and leaves.
+    Before the first round all suffixes are in one interval.  Round p deals each interval by symbol p; a suffix alone in
+    its interval leaves.  The order of the shards has no effect on which suffixes are found.
     """
     z = np.concatenate(shards)
     interval = np.zeros(len(z), np.int64)
     for p in range(LENGTH // BLOCK):
         symbol = symbols[z + BLOCK * p]
-        dealt = np.lexsort((symbol, interval))  # stable merges of runs that are in order
+        dealt = np.lexsort((symbol, interval))  # sorts all live suffixes anew
         z, interval, symbol = z[dealt], interval[dealt], symbol[dealt]
         new = np.concatenate([[True], (interval[1:] != interval[:-1]) | (symbol[1:] != symbol[:-1])])
         number = np.cumsum(new) - 1
