@@ -1,7 +1,7 @@
 """Incremental growth of a map as a driver loop over tables, and the ledger of pipeline stages.
 
 Growth starts from the pair with the most shared points, registers the image that sees most of the map (its pose
-starts from the registered frame it shares most points with), triangulates what two registered frames see by point
+stays the guess that the caller gave), triangulates what two registered frames see by point
 steps, and adjusts; relaxed settings follow where nothing registers.  Features, matching and closed-form resection are
 outside the reference's own code too and are not rebuilt.
 """
