@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,7 +46,18 @@ def sorted_json(params: Column) -> Column:
 
 
 def file_digest(name: Column, size: Column) -> Column:
-    """Aggregate: SHA-256 over ``name:size`` lines in the order of names."""
+    """Aggregate: SHA-256 over ``name:size`` lines in the order of names, in one task; for the bounded dump of a folder."""
     line = F.concat(name, F.lit(":"), size.cast("string"), F.lit("\n"))
     lines = F.array_sort(F.collect_list(F.struct(name.alias("n"), line.alias("l"))))
     return F.sha2(F.array_join(F.transform(lines, lambda x: x.l), "").cast("binary"), 256)
+
+
+def bucket_digest(files: DataFrame, keys: list[str], name: str, size: str) -> DataFrame:
+    """digest of any number of files a key: SHA-256 over ``bucket:digest`` lines of at most 4096 buckets.
+
+    A file's bucket is the first three hex digits of the SHA-256 of its name, and a bucket's digest its ``file_digest``.
+    """
+    known = files.filter(F.col(name).isNotNull() & F.col(size).isNotNull())
+    bucket = F.substring(F.sha2(F.col(name).cast("binary"), 256), 1, 3)
+    buckets = known.groupBy(*keys, bucket.alias("_bucket")).agg(file_digest(F.col(name), F.col(size)).alias("_digest"))
+    return buckets.groupBy(*keys).agg(file_digest(F.col("_bucket"), F.col("_digest")).alias("digest"))

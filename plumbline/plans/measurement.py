@@ -156,6 +156,14 @@ def dump_hash(spark, d):
     return docs.groupBy("lang").agg(naming.file_digest(F.col("doc_id").cast("string"), F.col("n_chars")).alias("digest"))
 
 
+@query("""WITH lines AS (SELECT lang, doc_id::VARCHAR AS name, doc_id::VARCHAR || ':' || n_chars::VARCHAR || chr(10) AS line FROM documents),
+buckets AS (SELECT lang, sha256(name)[:3] AS bucket, sha256(string_agg(line, '' ORDER BY name)) AS digest FROM lines WHERE line IS NOT NULL GROUP BY ALL)
+SELECT lang, sha256(string_agg(bucket || ':' || digest || chr(10), '' ORDER BY bucket)) AS digest FROM buckets GROUP BY lang""")
+def dump_hash_buckets(spark, d):
+    docs = V.table(spark, d, "documents").select("lang", F.col("doc_id").cast("string").alias("name"), "n_chars")
+    return naming.bucket_digest(docs, ["lang"], "name", "n_chars")
+
+
 @query(V.sql(["meas"], "SELECT DISTINCT sensor FROM meas ORDER BY sensor"))
 def list_sensors(spark, d):
     return V.meas(spark, d).select("sensor").distinct().orderBy("sensor")
