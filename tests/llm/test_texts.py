@@ -313,11 +313,88 @@ def test_common_anchors_are_counted_over_all_tasks(edge_docs, monkeypatch):
     """With the bound on runs of one anchor at 1, every differing run goes the way of the hot ones."""
     from plumbline.llm import repeats
 
-    monkeypatch.setattr(repeats, "HOT_RUNS", 1)
+    monkeypatch.setattr(repeats, "GROUP_RUNS", 1)
     got = repeats.removal_digest(edge_docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert as_sorted(got) == brute_repeats(rows_of(edge_docs))
 
 
+@pytest.mark.parametrize("length", [200, 400])
+def test_overlapping_and_periodic_repeats(spark, length):
+    """Passages that share parts, texts that repeat themselves with many periods, passages of one byte less than a window."""
+    import random
+
+    from plumbline.llm.repeats import Windows, removal_digest
+
+    rng = random.Random(length)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base = noise(2000)
+    rows = [noise(30) + base[a : a + n] + noise(40) for a, n in ((0, 900), (300, 900), (500, length), (700, length - 1), (701, length), (1200, 500), (1300, 700))]
+    rows += ["ab" * 700, "abc" * 500, noise(150) * 9, noise(173) * 3 + noise(30), noise(length - 1) + "!" + noise(20), "z" * (length + 1), base[100:400] + "," + base[401:900]]
+    near = noise(length + 90)
+    rows += [near[:k] + "#" + near[k + 1 :] for k in range(0, len(near), 37)]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = removal_digest(docs, Windows(length)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert as_sorted(got) == brute_repeats(rows, length)
+
+
+def test_merged_transforms_are_that_of_all_suffixes():
+    """Order and common prefixes of merged shards against a plain sort of all suffixes by their symbols."""
+    import random
+
+    import numpy as np
+
+    from plumbline.llm.repeats import Windows, merge_transforms, shard_transform
+
+    rng = random.Random(12)
+    shape = Windows(40, 8, 10)
+    for shards in (1, 2, 5):
+        pieces = [rng.choice([b"aaaaabbbbb", b"cdcdcdcdcd", b"aaaaaccccc"]) for _ in range(shards * 40)]
+        runs = [b"".join(pieces[i : i + 8]) for i in range(0, len(pieces), 8)]
+        data, starts = b"".join(runs), np.arange(0, 80 * len(runs), 80)
+        blocks = [data[i : i + 10] for i in range(len(data) - 9)]
+        number = {b: i for i, b in enumerate(sorted(set(blocks)))}
+        used = np.array([s + i for s in starts for i in range(71)])
+        run = np.repeat(np.arange(len(runs)), 71)
+        symbol = np.array([number[b] for b in blocks]) + len(used)
+        made, ends = [], 0
+        for k in range(shards):
+            mine = run // 5 == k
+            shard, n = shard_transform(symbol, used[mine], run[mine], ends, shape)
+            made.append(shard)
+            ends += n
+        suffixes, common = merge_transforms(made, shape.depth)
+        sequence = lambda p: tuple(number[blocks[q]] for q in range(p, (p // 80 + 1) * 80 - 9, 10))[: shape.depth]  # noqa: B023, E731
+        got = [sequence(p) for p in suffixes if p >= 0]
+        assert sorted(p for p in suffixes if p >= 0) == used.tolist() and got == sorted(got)
+        for before, here, shared in zip(suffixes[:-1], suffixes[1:], common[1:], strict=True):
+            if before >= 0 and here >= 0:
+                a, b = sequence(before), sequence(here)
+                assert shared == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_passages_of_just_over_fifty_words_go(spark):
+    """The pipeline's stage takes every passage of 51 to 60 words that two documents share, and nothing else."""
+    import random
+
+    from plumbline.llm.repeats import without_repeats
+
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    passages = {n: words(n) for n in range(51, 61)}
+    rows, kept = [], {}
+    for i, (n, passage) in enumerate(passages.items()):
+        for j in range(3):
+            before, after = words(60) + " <", "> " + words(20)
+            rows.append((3 * i + j, before + passage + after))
+            kept[3 * i + j] = before + after
+    rows += [(100 + i, words(150)) for i in range(20)]
+    kept |= dict(rows[30:])
+    got = {r.doc_id: r.text for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # the bytes beside a passage may be alike by chance in two of its places
+    assert all(len(kept[i]) - 6 <= len(t) <= len(kept[i]) for i, t in got.items()) and {i: t for i, t in got.items() if i >= 100} == dict(rows[30:])
+
+
 def test_stage_form_keeps_columns(edge_docs):
     from plumbline.llm.repeats import without_repeats
 

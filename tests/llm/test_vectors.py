@@ -106,8 +106,6 @@ def test_top_k_is_that_of_brute_force(spark, vectors, block):
 
 
 def test_the_table_of_the_driver(spark):
-    from conftest import ROOT  # noqa: F401
-
     from plumbline.llm.queries import QUERIES
 
     sf = "/root/testdata/sf0.001"
