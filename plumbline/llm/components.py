@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stage
+from plumbline.llm.common import discard, stage
 
 
 def _measure(links: DataFrame):
@@ -29,7 +29,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = stage(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        links = stage(small.filter("u > v").distinct(), "small-star")
+        before, links = links, stage(small.filter("u > v").distinct(), "small-star")
+        discard(before, large)
         now = _measure(links)
         if now == seen:
             break

@@ -7,10 +7,14 @@ for a pair at the threshold t the error has a standard deviation of sqrt(1 - t^2
 Pairs whose estimate is more than ``BOUND`` deviations under t are passed over; all others are recomputed exactly, in
 double precision.
 
+Codes (packed, a bit a component) and factors are computed once for each vector and stored with it.  The other side of a
+pair, whose role is that of a query, is turned in the task.
+
 Vectors are compared within their label only.  Equal vectors form one class.  Classes lie in blocks of bounded size
-by cells around pivots; pairs of cells that are too far apart by the triangle inequality of angles are left out, and
-each remaining pair of blocks is one task, which gives one row for each vector with links (its number of links there,
-and the smallest member it hangs together with) and never the pairs themselves.
+by a tree of cells around pivots; the tree is walked together with itself, and pairs of cells that are too far apart by
+the triangle inequality of angles are left out at the highest level that shows it.  Each remaining pair of blocks is
+one task, which gives one row for each vector with links (its number of links there, and the smallest member it hangs
+together with) and never the pairs themselves.
 
 Defined results: a vector that is null, empty, zero or has null or non-finite components, or whose label is null,
 links with nothing and is its own component; vectors of different lengths do not link; repeated rows are links of
@@ -21,11 +25,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.cells import finite, in_cells, pivots
-from plumbline.llm.common import stage
+from plumbline.llm.cells import FAN, cell_tree, children, dot, finite, tree_nodes
+from plumbline.llm.common import by_rows, discard, stage
 from plumbline.llm.components import connected_components
 
 THRESHOLD = 0.93
@@ -53,13 +58,32 @@ def least_estimate(factor: np.ndarray, dim: int, threshold: float) -> np.ndarray
     return threshold - BOUND * spread - 1e-9
 
 
-def links_between(a: np.ndarray, b: np.ndarray, threshold: float):
-    """For tiles of a: (rows of the tile, boolean matrix of links to all of b)."""
+def coded(vectors: DataFrame) -> DataFrame:
+    """Adds code (packed signs of the turned vector) and factor to vectors (id, grp, n, v)."""
+
+    def run(cols):
+        sizes = cols["dim"].to_numpy()
+        values = cols["v"].combine_chunks() if isinstance(cols["v"], pa.ChunkedArray) else cols["v"]
+        flat, at = values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+        packed, factors = [b""] * len(sizes), np.zeros(len(sizes))
+        for d in np.unique(sizes):
+            rows = np.flatnonzero(sizes == d)
+            x = flat[at[rows][:, None] + np.arange(d)]
+            turned, signs, factors[rows] = codes(x / np.linalg.norm(x, axis=1, keepdims=True))
+            for r, bits in zip(rows, np.packbits(turned > 0, axis=1), strict=True):
+                packed[r] = bits.tobytes()
+        return {c: cols[c] for c in ("id", "grp", "n", "dim", "v")} | {"code": pa.array(packed, pa.binary()), "factor": pa.array(factors)}
+
+    return by_rows(vectors, ["id", "grp", "n", "dim", "v"], run, "id long, grp long, n long, dim int, v array<double>, code binary, factor double")
+
+
+def links_between(a: np.ndarray, code: np.ndarray, factor: np.ndarray, b: np.ndarray, threshold: float):
+    """For tiles of a (with packed codes and factors): (rows of the tile, boolean matrix of links to all of b)."""
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    _, signs, factor = codes(a / na[:, None])
-    turned = codes(b / nb[:, None])[0]
-    signs, turned = signs.astype(np.float32), turned.astype(np.float32)
-    floor = least_estimate(factor, a.shape[1], threshold)
+    dim = a.shape[1]
+    signs = (np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
+    turned = codes(b / nb[:, None])[0].astype(np.float32)
+    floor = least_estimate(factor, dim, threshold)
     for at in range(0, len(a), TILE):
         rows = slice(at, at + TILE)
         near = (signs[rows] @ turned.T) / factor[rows, None] >= floor[rows, None]
@@ -82,9 +106,10 @@ def compare_blocks(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     if not len(one) or not len(two):
         return pd.DataFrame({"cls": [], "n_links": [], "root": []}).astype(np.int64)
     a, b = (np.stack(x["v"].to_numpy()).astype(np.float64) for x in (one, two))
+    code = np.stack([np.frombuffer(c, np.uint8) for c in one["code"]])
     ca, cb, wa, wb = one["cls"].to_numpy(), two["cls"].to_numpy(), one["n"].to_numpy(), two["n"].to_numpy()
     out = []
-    for rows, near in links_between(a, b, threshold):
+    for rows, near in links_between(a, code, one["factor"].to_numpy(), b, threshold):
         if same:
             i = np.arange(rows.start, min(rows.stop, len(a)))
             near[np.arange(len(i)), i] = False
@@ -107,44 +132,61 @@ def compare_blocks(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"cls": cls, "n_links": n, "root": root}).groupby(["cls", "root"], as_index=False)["n_links"].sum()[["cls", "n_links", "root"]]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def _near_cells(nodes: DataFrame, levels: int, threshold: float) -> DataFrame:
+    """Pairs of leaves (cell, other: each pair once) that may hold a link, found level by level from the roots."""
+    roots = nodes.filter("level = 0").select("node")
+    pairs = roots.select(F.col("node").alias("cell"), F.col("node").alias("other"))
+    below = children(nodes)
+    side = lambda x: below.select(F.col("above").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("node", "away", "centre")))
+    size = lambda c: F.sqrt(dot(c, c))
+    cosine = dot("cell_centre", "other_centre") / (size("cell_centre") * size("other_centre"))
+    angle = F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)))
+    reach = F.col("cell_away") + F.col("other_away") + float(np.arccos(threshold)) + 1e-6
+    for _ in range(levels - 1):
+        pairs = pairs.join(side("cell"), "cell").join(side("other"), "other").filter("cell <> other OR cell_node <= other_node")
+        pairs = pairs.filter(F.coalesce(angle <= reach, F.lit(True)))
+        pairs = pairs.select(F.least("cell_node", "other_node").alias("cell"), F.greatest("cell_node", "other_node").alias("other"))
+    return pairs
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding, label)."""
     usable = F.col("label").isNotNull() & finite() & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select("vec_id", F.when(usable, F.xxhash64("label", "embedding")).alias("cls"), F.when(usable, F.col("label")).alias("label"), F.when(usable, F.col("embedding")).alias("embedding"))
-    classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("embedding").cast("array<double>").alias("v"))
-    classes = stage(classes.select("cls", F.col("cls").alias("id"), "n", "least", "label", F.size("v").alias("dim"), "v"), "vector-classes")
-    most = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    points = pivots(classes, -(-most // block))
-    placed = stage(in_cells(classes, points, ["cls", "n", "label"], angular=True), "vector-cells")
-
-    cells = placed.groupBy("label", "dim", "cell").agg(F.max("away").alias("away"), F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    apart = [(d, i, j, float(np.arccos(np.clip(p[i] @ p[j] / (np.linalg.norm(p[i]) * np.linalg.norm(p[j])), -1, 1)))) for d, p in points.items() for i in range(len(p)) for j in range(len(p))]
-    spark = vectors.sparkSession
-    apart = spark.createDataFrame(apart, "dim int, cell int, other int, angle double")  # MOST x MOST rows at most
-    side = lambda x: cells.select("label", "dim", F.col("cell").alias(x), F.col("away").alias(f"{x}_away"), F.col("blocks").alias(f"{x}_blocks"))
-    pairs = side("cell").join(side("other"), ["label", "dim"]).filter("cell <= other").join(F.broadcast(apart), ["dim", "cell", "other"], "left")
-    reach = F.col("cell_away") + F.col("other_away") + float(np.arccos(threshold)) + 1e-6
-    pairs = pairs.filter(F.coalesce(F.col("angle"), F.lit(0.0)) <= reach)
+    usable_rows = vectors.filter(usable).select("vec_id", F.xxhash64("label", "embedding").alias("cls"), "label", "embedding")
+    classes = usable_rows.groupBy("cls").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("embedding").cast("array<double>").alias("v"))
+    classes = stage(classes.select(F.col("cls").alias("id"), "n", "least", F.xxhash64("label", F.size("v")).alias("grp"), F.size("v").alias("dim"), "v"), "vector-classes")
+    placed, centres, levels = cell_tree(coded(classes), block, angular=True, fan=fan)
+    nodes = stage(tree_nodes(placed, centres), "cell-nodes")
+    pairs = _near_cells(nodes, levels, threshold)
+
+    blocks = nodes.filter("leaf").select(F.col("node").alias("cell"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    tasks = pairs.select("label", "dim", "cell", "other", "other_blocks", upto("cell_blocks").alias("i")).select("label", "dim", "cell", "other", "i", upto("other_blocks").alias("j")).filter("cell < other OR i <= j")
-    blocks = placed.join(cells.select("label", "dim", "cell", "blocks"), ["label", "dim", "cell"]).withColumn("i", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("blocks")).cast("int"))
+    tasks = pairs.join(blocks.withColumnRenamed("blocks", "cell_blocks"), "cell").join(blocks.select(F.col("cell").alias("other"), F.col("blocks").alias("other_blocks")), "other")
+    tasks = tasks.select("cell", "other", "other_blocks", upto("cell_blocks").alias("i")).select("cell", "other", "i", upto("other_blocks").alias("j")).filter("cell <> other OR i <= j")
+    tasks = stage(tasks, "block-pairs")
+    inside = placed.select(F.col("id").alias("cls"), F.element_at("path", -1).alias("cell"), "n", "v", "code", "factor").join(blocks, "cell")
+    inside = inside.withColumn("i", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("blocks")).cast("int")).drop("blocks")
     itself = (F.col("cell") == F.col("other")) & (F.col("i") == F.col("j"))
-    key = ["label", "dim", "cell", "other", "i", "j"]
-    left = blocks.drop("blocks", "away").join(tasks, ["label", "dim", "cell", "i"]).withColumn("side", F.when(itself, 0).otherwise(1))
-    right = blocks.drop("blocks", "away").withColumnsRenamed({"cell": "other", "i": "j"}).join(tasks, ["label", "dim", "other", "j"]).filter(~itself).withColumn("side", F.lit(2))
-    columns = [*key, "cls", "n", "v", "side"]
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = ["cell", "other", "i", "j"]
+    left = inside.join(tasks, ["cell", "i"]).withColumn("side", F.when(itself, 0).otherwise(1))
+    right = inside.withColumnsRenamed({"cell": "other", "i": "j"}).join(tasks, ["other", "j"]).filter(~itself).withColumn("side", F.lit(2))
+    columns = [*key, "cls", "n", "v", "code", "factor", "side"]
+    spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     compared = left.select(columns).unionByName(right.select(columns)).repartition(spread, *key).groupBy(key).applyInPandas(lambda pdf: compare_blocks(pdf, threshold), "cls long, n_links long, root long")
     compared = stage(compared, "vector-links")
 
     labels = connected_components(compared.filter("cls <> root").select(F.col("cls").alias("u"), F.col("root").alias("v")))
-    least = labels.join(classes.select(F.col("cls").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    own = classes.select(F.col("id").alias("cls"), "n", "least")
+    least = labels.join(own.select(F.col("cls").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     component = labels.join(least, "component").select(F.col("node").alias("cls"), "component_id")
     links = compared.groupBy("cls").agg(F.sum("n_links").alias("others"))
-    found = classes.select("cls", "n", "least").join(links, "cls", "left").join(component, "cls", "left")
+    found = own.join(links, "cls", "left").join(component, "cls", "left")
     found = found.select("cls", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
-    out = rows.select("vec_id", "cls").join(found, "cls", "left")
-    # equal rows without an id, or an id of another class, never stand for a row of its own
+    found = stage(found, "class-links")  # written, so that the rows of a vector that very many share can be split over tasks
+    discard(placed, nodes, tasks, compared, classes)
+    out = usable_rows.select("vec_id", "cls").join(found, "cls").select("vec_id", "n_links", "component_id")
+    others = vectors.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    # rows without an id have no component; a class of such rows alone has none to give
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    out = out.unionByName(others).select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

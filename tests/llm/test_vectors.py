@@ -55,14 +55,14 @@ def brute_links(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [64, 4096])
-def test_near_duplicates_are_those_of_brute_force(spark, vectors, block):
+@pytest.mark.parametrize(("block", "fan"), [(64, 256), (20, 3), (4096, 256)])
+def test_near_duplicates_are_those_of_brute_force(spark, vectors, block, fan):
     from plumbline.llm.embedding_dedup import near_duplicates
 
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(vectors, VECTOR).withColumns({c: F.lit("x") for c in ("cls", "n", "cell", "side", "component_id")})
-    got = near_duplicates(df, block=block).select("vec_id", "n_links", "component_id", "kept").collect()
+    got = near_duplicates(df, block=block, fan=fan).select("vec_id", "n_links", "component_id", "kept").collect()
     assert sorted(map(tuple, got), key=repr) == brute_links(vectors)
 
 
@@ -91,11 +91,11 @@ def test_no_vectors(spark):
     assert top_k(none).count() == 0
 
 
-@pytest.mark.parametrize("block", [50, 8192])
-def test_top_k_is_that_of_brute_force(spark, vectors, block):
+@pytest.mark.parametrize(("block", "fan"), [(50, 256), (20, 3), (8192, 256)])
+def test_top_k_is_that_of_brute_force(spark, vectors, block, fan):
     from plumbline.llm.top_k import top_k
 
-    got = top_k(spark.createDataFrame(vectors, VECTOR), every=50, block=block).collect()
+    got = top_k(spark.createDataFrame(vectors, VECTOR), every=50, block=block, fan=fan).collect()
     whole = [(r[0], np.floor(np.array(r[1], np.float64) * 256)) for r in vectors if r[0] is not None and usable(r[1])]
     expected = []
     for q, v in whole:
@@ -105,6 +105,73 @@ def test_top_k_is_that_of_brute_force(spark, vectors, block):
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
+@pytest.fixture(scope="module")
+def clustered():
+    """Vectors around 40 centres, with clusters of one vector and of many equal ones."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 24)) * 3
+    x = centres[rng.integers(40, size=3000)] + rng.normal(size=(3000, 24)) * 0.1
+    x[2000:2300] = x[7]
+    return [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)]
+
+
+def test_clusters_are_pruned_and_nothing_is_lost(spark, clustered):
+    from plumbline.llm.top_k import scored_share, top_k
+
+    df = spark.createDataFrame(clustered, VECTOR)
+    got = sorted(map(tuple, top_k(df, block=300).collect()))
+    whole = np.floor(np.array([r[1] for r in clustered], np.float32).astype(np.float64) * 256)
+    expected = []
+    for q in range(0, 3000, 50):
+        score = (whole @ whole[q]).astype(np.int64)
+        score[q] = -(1 << 62)
+        best = np.lexsort((np.arange(3000), -score))[:5]
+        expected += [(q, r, int(i), int(score[i])) for r, i in enumerate(best, 1)]
+    assert got == sorted(expected)
+    assert scored_share(df, block=300) < 0.3
+
+
+def test_cover_tree_invariants_and_search():
+    from plumbline.llm.top_k import CoverTree, search
+
+    rng = np.random.default_rng(8)
+    for x in (rng.normal(size=(700, 8)), np.repeat(rng.normal(size=(9, 8)), 50, axis=0), np.zeros((40, 8)), np.exp(rng.normal(size=(300, 1)) * 3) * np.ones((1, 8))):
+        x = np.floor(x * 256)
+        tree = CoverTree(x, 8)
+        assert sorted(tree.order) == list(range(len(x)))
+        for n in range(len(tree.centre)):
+            inside = x[tree.order[tree.low[n] : tree.high[n]]]
+            assert (np.linalg.norm(inside - x[tree.centre[n]], axis=1) <= tree.radius[n] + 1e-9).all()
+            below = range(tree.first[n], tree.first[n] + tree.many[n])
+            if below:
+                assert [tree.low[c] for c in below][0] == tree.low[n] and [tree.high[c] for c in below][-1] == tree.high[n]
+                c = x[tree.centre[list(below)]]
+                apart = np.linalg.norm(c[:, None] - c[None], axis=2)[~np.eye(len(c), dtype=bool)]
+                assert (tree.radius[list(below)] <= tree.cover[n] * (1 + 1e-9) + 1e-9).all() and (apart >= tree.cover[n] - 1e-9).all()
+            else:
+                assert tree.high[n] - tree.low[n] <= 8 or tree.radius[n] == 0
+        q, ids = x[::7] + 1, np.arange(0, len(x), 7)
+        best, scored = search(q, ids, np.full(len(q), -np.inf), x, np.arange(len(x)), 5)
+        for row, i in enumerate(ids):
+            score = x @ q[row]
+            score[i] = -np.inf
+            want = np.lexsort((np.arange(len(x)), -score))[: min(5, len(x) - 1)]
+            assert best.id[row].tolist()[: len(want)] == want.tolist() and (scored[row] <= len(x))
+
+
+def test_codes_are_stored_once(spark):
+    """Packed codes and factors of the table are those of the vectors, whatever their lengths."""
+    from plumbline.llm.embedding_dedup import coded, codes
+
+    rng = np.random.default_rng(9)
+    rows = [(i, d, 1, d, rng.normal(size=d).tolist()) for i, d in enumerate([5, 16, 64, 16, 1, 64])]
+    for r in coded(spark.createDataFrame(rows, "id long, grp long, n long, dim int, v array<double>")).collect():
+        v = np.array(r.v)
+        turned, _, factor = codes(v[None] / np.linalg.norm(v))
+        assert np.unpackbits(np.frombuffer(r.code, np.uint8), count=r.dim).tolist() == (turned[0] > 0).astype(int).tolist()
+        assert r.factor == pytest.approx(factor[0])
+
+
 def test_the_table_of_the_driver(spark):
     from plumbline.llm.queries import QUERIES
 
