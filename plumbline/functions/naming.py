@@ -32,6 +32,11 @@ def snapshot_name(ts: Column) -> Column:
     return F.lpad(F.unix_millis(ts).cast("string"), 13, "0")
 
 
+def utc_stamp(ts: Column) -> Column:
+    """ISO time of a timestamp in UTC, to the second (the session's time zone must be UTC for literal text)."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
 def is_jpeg(name: Column) -> Column:
     return F.endswith(F.lower(name), F.lit(".jpg"))
 

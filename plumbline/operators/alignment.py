@@ -48,7 +48,7 @@ def align(pairs: DataFrame, keys: list[str], with_scale: bool = True) -> DataFra
 
 def residuals(pairs: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs with the distance ``residual`` of the target to the moved source."""
-    joined = pairs.join(F.broadcast(fits.drop("n")), keys) if keys else pairs.crossJoin(F.broadcast(fits.drop("n")))
+    joined = pairs.join(fits.drop("n"), keys) if keys else pairs.crossJoin(F.broadcast(fits.drop("n")))  # one row without keys
     moved = G.apply_similarity(F.col("scale"), F.col("rotation"), F.col("translation"), F.array(*SOURCE))
     return joined.withColumn("residual", G.norm(G.sub(F.array(*TARGET), moved))).drop("scale", "rotation", "translation")
 
@@ -62,7 +62,7 @@ def align_robust(pairs: DataFrame, keys: list[str], with_scale: bool = True, tri
     first = align(pairs, keys, with_scale)
     judged = residuals(pairs, first, keys)
     median = judged.groupBy(*keys).agg(F.median("residual").alias("_median"))
-    judged = (judged.join(F.broadcast(median), keys) if keys else judged.crossJoin(F.broadcast(median))).withColumn("inlier", F.col("residual") <= trim * F.col("_median")).drop("_median")
+    judged = (judged.join(median, keys) if keys else judged.crossJoin(F.broadcast(median))).withColumn("inlier", F.col("residual") <= trim * F.col("_median")).drop("_median")
     count = judged.groupBy(*keys).agg(F.count_if("inlier").alias("n_in"), F.count("*").alias("n_all"))
     again = count.filter("n_in >= 3 AND n_in < n_all").select(*keys)
     if not keys:

@@ -105,10 +105,10 @@ def audit(keypoints: DataFrame, rows: DataFrame, meta: DataFrame) -> DataFrame:
     return kinds.unionByName(gaps).unionByName(values)
 
 
-def audit_statistics(rows: DataFrame) -> DataFrame:
-    """Informational figures of a sensor: rows, images, depth range, and the share of rows with two distinct modes."""
+def audit_statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Informational figures of each sensor (or whatever ``keys`` are): rows, images, depth range, and the share of rows with two distinct modes."""
     log_ratio = F.abs(F.ln(F.get("modes", 1).cast("double") / F.get("modes", 0).cast("double")))
-    return rows.filter(not_sky(F.col("is_sky"))).agg(
+    return rows.filter(not_sky(F.col("is_sky"))).groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.countDistinct("image_id").alias("n_images"),
         F.min("estimated_depth").alias("min_depth"),

@@ -157,18 +157,35 @@ def signed_ranks(diffs: DataFrame, keys: list[str], diff: str = "diff") -> DataF
     return signs.join(w, keys, "left")
 
 
+EXACT = 50
+
+
+def exact_p(n: int, least: int) -> float:
+    """Twice the chance, at most 1, that the ranks 1..n with random signs sum to ``least`` or less on one side."""
+    ways = [1] + [0] * (n * (n + 1) // 2)
+    for rank in range(1, n + 1):
+        for total in range(len(ways) - 1, rank - 1, -1):
+            ways[total] += ways[total - rank]
+    return min(1.0, 2 * sum(ways[: least + 1]) / 2**n)
+
+
 def signed_rank_test(diffs: DataFrame, keys: list[str], diff: str = "diff") -> DataFrame:
-    """Adds the two-sided p of the signed-rank statistic by its normal form; small samples have an exact p that differs."""
+    """Adds the two-sided p of the signed-rank statistic.
+
+    It is exact for up to ``EXACT`` differences without ties or zeros, and that of the normal form otherwise.
+    """
     ranks = signed_ranks(diffs, keys, diff)
     n = F.col("n_nonzero").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48
     z = F.when(variance > 0, (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.sqrt(variance))
 
     @F.pandas_udf("double")
-    def two_sided(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
+    def two_sided(z: pd.Series, n: pd.Series, w: pd.Series, plain: pd.Series) -> pd.Series:
+        held = [math.nan if pd.isna(v) else exact_p(int(k), int(least)) if ok and k <= EXACT else math.erfc(abs(v) / math.sqrt(2)) for v, k, least, ok in zip(z, n, w, plain, strict=True)]
+        return pd.Series(held).where(z.notna().to_numpy())
 
-    return ranks.withColumn("z", z).withColumn("p", two_sided("z"))
+    plain = (F.col("tie_term") == 0) & (F.col("n") == F.col("n_nonzero"))
+    return ranks.withColumn("z", z).withColumn("p", two_sided("z", "n_nonzero", F.least("w_plus", "w_minus"), F.coalesce(plain, F.lit(False))))
 
 
 def extremes(deltas: DataFrame, order: list[str], n: int = 20) -> DataFrame:

@@ -1,9 +1,9 @@
-"""Incremental growth of a map as a driver loop over tables, and the ledger of pipeline stages.
+"""Incremental growth of a map as rounds over tables, and the ledger of pipeline stages.
 
-Growth starts from the pair with the most shared points, registers the image that sees most of the map (its pose
-stays the guess that the caller gave), triangulates what two registered frames see by point
-steps, and adjusts; relaxed settings follow where nothing registers.  Features, matching and closed-form resection are
-outside the reference's own code too and are not rebuilt.
+Growth starts from the pair with the most shared points.  Each round adjusts what the registered frames see twice, then
+registers all images that see enough of it; a new image starts from the pose of the registered one that it shares the most
+points with.  Bounds are relaxed where nothing registers.  Features, matching and closed-form resection are outside the
+reference's own code too and are not rebuilt.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import pairing, solver
-from plumbline.staging import staged
+from plumbline.staging import discard, staged
 
 
 @dataclass
@@ -25,48 +25,75 @@ class GrowthOptions:
     least_visible: int = 6
     least_pair: int = 8
     relaxations: int = 2
-    most_images: int = 100_000
+    most_rounds: int = 50
     adjust: solver.Options = field(default_factory=lambda: solver.Options(loss="cauchy", rounds=10))
 
 
-def grow(reproj: DataFrame, start: solver.State, options: GrowthOptions | None = None) -> tuple[solver.State, list[int], str]:
-    """(state of registered frames, their ids in order, "ok" or why it stopped).
+def started_poses(frames: DataFrame, seen: DataFrame, new: DataFrame, registered: DataFrame) -> DataFrame:
+    """The frames, new ones (frame_id) with the pose of the registered frame with which they share the most points.
 
-    ``reproj`` has frame_id, point3D_id, x, y and intrinsics; ``start`` the initial guesses of all frames and points.
+    Of several such frames it is the one with the smallest id.
+    """
+    points = seen.select(F.col("image_id").alias("frame_id"), "point3D_id").distinct()
+    theirs = points.join(new, "frame_id", "left_semi")
+    ours = points.join(registered, "frame_id", "left_semi").withColumnRenamed("frame_id", "_near")
+    shared = theirs.join(ours, "point3D_id").groupBy("frame_id", "_near").agg(F.count("*").alias("_n"))
+    nearest = shared.groupBy("frame_id").agg(F.max_by("_near", F.struct("_n", -F.col("_near"))).alias("_near"))
+    pose = frames.select(F.col("frame_id").alias("_near"), F.col("rotation").alias("_r"), F.col("translation").alias("_t"))
+    moved = frames.join(nearest.join(pose, "_near").drop("_near"), "frame_id", "left")
+    return moved.select("frame_id", F.coalesce("_r", "rotation").alias("rotation"), F.coalesce("_t", "translation").alias("translation"), "is_constant")
+
+
+def grow(reproj: DataFrame, start: solver.State, options: GrowthOptions | None = None, depth: DataFrame | None = None) -> tuple[solver.State, DataFrame, str]:
+    """(state, registered frames with the round they came in, "ok" or why it stopped).
+
+    ``reproj`` has frame_id, point3D_id, x, y and intrinsics; ``start`` initial guesses of all points and of the frames
+    of the first pair.  The first frame is constant.
     """
     o = options or GrowthOptions()
+    spark = reproj.sparkSession
     seen = reproj.select(F.col("frame_id").alias("image_id"), "point3D_id")
-    least = o.least_pair
-    pair = None
+    none = spark.createDataFrame([], "frame_id long, round int")
+    least, pair = o.least_pair, None
     for _ in range(1 + o.relaxations):
         pair = pairing.initial_pairs(seen, least).first()
         if pair:
             break
         least = max(1, least // 2)
     if pair is None:
-        return start, [], "no initial pair"
-    registered, visible = [pair.id_a, pair.id_b], o.least_visible
-    state = start
-    while len(registered) < o.most_images:
-        ours = reproj.filter(F.col("frame_id").isin(registered))
-        twice = ours.groupBy("point3D_id").agg(F.countDistinct("frame_id").alias("n")).filter("n >= 2").select("point3D_id")
+        return start, none, "no initial pair"
+    registered, visible, state = staged(spark.createDataFrame([(pair.id_a, 0), (pair.id_b, 0)], none.schema), "registered"), o.least_visible, start
+    for number in range(1, o.most_rounds + 1):
+        ours = reproj.join(registered, "frame_id", "left_semi")
+        twice = staged(ours.groupBy("point3D_id").agg(F.countDistinct("frame_id").alias("n")).filter("n >= 2").select("point3D_id"), "seen-twice")
         held = staged(ours.join(twice, "point3D_id", "left_semi"), "growing")
-        anchored = solver.State(state.frames.withColumn("is_constant", F.col("is_constant") | (F.col("frame_id") == registered[0])), state.points, state.affine)
-        state, _, _ = solver.solve(held, anchored, o.adjust)
-        spark = reproj.sparkSession
-        known = spark.createDataFrame([(i,) for i in registered], "image_id long")
-        following = None
+        depths = None if depth is None else depth.join(held.select("frame_id", "point3D_id"), ["frame_id", "point3D_id"], "left_semi")
+        anchored = solver.State(state.frames.withColumn("is_constant", F.col("is_constant") | (F.col("frame_id") == pair.id_a)), state.points, state.affine)
+        state, _, _ = solver.solve(held, anchored, o.adjust, depths)
+        known = registered.select(F.col("frame_id").alias("image_id"))
+        new, bound = None, visible
         for _ in range(1 + o.relaxations):
-            following = pairing.next_images(seen, known, twice, visible).first()
-            if following:
+            found = staged(pairing.next_images(seen, known, twice, bound).select(F.col("image_id").alias("frame_id")), "next")
+            if not found.isEmpty():
+                new = found
                 break
-            visible = max(1, visible // 2)
-        if following is None:
+            bound = max(1, bound // 2)
+        discard(twice, held)
+        if new is None:
             break
-        registered.append(following.image_id)
+        state = solver.State(staged(started_poses(state.frames, seen, new, registered.select("frame_id")), "frames"), state.points, state.affine)
+        registered = staged(registered.unionByName(new.withColumn("round", F.lit(number))), "registered")
     return state, registered, "ok"
 
 
+def write_snapshot(state: solver.State, folder: str, millis: int) -> str:
+    """The tables of a map under a folder named by the time in milliseconds, with 13 digits."""
+    at = f"{folder.rstrip('/')}/{millis:013d}"
+    for name in ("frames", "points", "affine"):
+        getattr(state, name).write.parquet(f"{at}/{name}")
+    return at
+
+
 class Ledger:
     """Markers of finished stages, one JSON file a stage; a stage that runs again clears those after it."""
 

@@ -13,21 +13,25 @@ def strided(names: DataFrame, keys: list[str], name: str, stride: int) -> DataFr
     return kept.withColumn("seq", (F.col("_p") / max(1, stride)).cast("int")).drop("_p")
 
 
-def exhaustive_pairs(images: DataFrame, keys: list[str], block: int = 1024) -> DataFrame:
-    """All pairs id_a < id_b within each group; the result itself is all pairs, as asked.
+def _pairs_within(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """keys, id_a, id_b of all pairs id_a <= id_b of image_id within each group.
 
     A group is dealt into blocks of about ``block`` images by a hash of the id and joined block by block, so that no
     task holds the pairs of a whole group.
     """
-    whole = images.select(*keys, "image_id").filter(F.col("image_id").isNotNull())
-    sizes = whole.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-    dealt = whole.join(sizes, keys).withColumn("_at", F.pmod(F.xxhash64("image_id"), F.col("_n")).cast("int"))
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    dealt = rows.join(sizes, keys).withColumn("_at", F.pmod(F.xxhash64("image_id"), F.col("_n")).cast("int"))
     a = dealt.select(*keys, F.col("image_id").alias("_a"), F.col("_at").alias("_p"), F.explode(F.sequence("_at", F.col("_n") - 1)).alias("_q"))
     b = dealt.select(*keys, F.col("image_id").alias("_b"), F.explode(F.sequence(F.lit(0), "_at")).alias("_p"), F.col("_at").alias("_q"))
     pairs = a.join(b, [*keys, "_p", "_q"]).filter("_p < _q OR _a < _b")
     return pairs.select(*keys, F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"))
 
 
+def exhaustive_pairs(images: DataFrame, keys: list[str], block: int = 1024) -> DataFrame:
+    """All pairs id_a < id_b within each group; the result itself is all pairs, as asked."""
+    return _pairs_within(images.select(*keys, "image_id").filter(F.col("image_id").isNotNull()), keys, block)
+
+
 def sequential_pairs(images: DataFrame, keys: list[str], overlap: int) -> DataFrame:
     """Each image with the next ``overlap`` ones of its sequence: an equi-join on the place, one row a pair."""
     ahead = images.select(*keys, F.col("image_id").alias("id_a"), F.explode(F.sequence(F.col("seq") + 1, F.col("seq") + overlap)).alias("seq"))
@@ -35,15 +39,18 @@ def sequential_pairs(images: DataFrame, keys: list[str], overlap: int) -> DataFr
 
 
 def grid(arms: DataFrame, sequences: DataFrame) -> DataFrame:
-    """task, arm, sequence of every arm on every sequence, arms outermost; both lists are parameters, a few rows each."""
-    both = arms.crossJoin(sequences)
-    return both.withColumn("task", F.row_number().over(Window.orderBy("arm_no", "sequence_no")) - 1)
+    """task, arm, sequence of every arm (arm_no from 0) on every sequence (sequence_no from 0), arms outermost.
+
+    Both lists are parameters, a few rows each.
+    """
+    both = arms.crossJoin(sequences).crossJoin(sequences.agg(F.count("*").alias("_n")))
+    return both.withColumn("task", F.col("arm_no") * F.col("_n") + F.col("sequence_no")).drop("_n")
 
 
-def initial_pairs(observations: DataFrame, least: int = 1) -> DataFrame:
-    """Image pairs by the number of points they share, most first."""
+def initial_pairs(observations: DataFrame, least: int = 1, block: int = 1024) -> DataFrame:
+    """Image pairs by the number of points they share, most first; a point that very many images see is split in blocks."""
     seen = observations.filter(F.col("point3D_id").isNotNull()).select("image_id", "point3D_id").distinct()
-    pairs = seen.withColumnRenamed("image_id", "id_a").join(seen.withColumnRenamed("image_id", "id_b"), "point3D_id").filter("id_a < id_b")
+    pairs = _pairs_within(seen, ["point3D_id"], block)
     return pairs.groupBy("id_a", "id_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least).orderBy(F.desc("shared"), "id_a", "id_b")
 
 

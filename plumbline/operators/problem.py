@@ -131,19 +131,28 @@ def depth_costs(rows: DataFrame, space: str = "log", huber: float | None = None,
 def gauge_three_points(points: DataFrame) -> list[int]:
     """Ids of points to fix until three independent ones are: fixed points count first, then others by id.
 
-    Reads points in the order of ids and stops at the third independent one.
+    Each of the three is the first row, in that order, that is independent of those before it; one row a search
+    reaches the driver.
     """
-    chosen, fixed = [], []
-    ordered = points.select("point3D_id", "xyz", "is_constant").orderBy(F.col("is_constant").desc(), "point3D_id")
-    for row in ordered.toLocalIterator():
-        candidate = [*chosen, np.array(row.xyz)]
-        if np.linalg.matrix_rank(np.stack(candidate, axis=1)) == len(candidate):
-            chosen = candidate
-            if not row.is_constant:
-                fixed.append(row.point3D_id)
-            if len(chosen) == 3:
-                break
-    return fixed
+    tiny = 1e-12
+    size = F.sqrt(F.aggregate("xyz", F.lit(0.0), lambda s, v: s + v * v))
+    cross = lambda a: F.array(*(F.lit(float(a[i])) * F.get("xyz", j) - F.lit(float(a[j])) * F.get("xyz", i) for i, j in ((1, 2), (2, 0), (0, 1))))
+    chosen: list = []
+    while len(chosen) < 3:
+        if not chosen:
+            apart = size > tiny
+        elif len(chosen) == 1:
+            first = np.array(chosen[0].xyz)
+            apart = F.sqrt(F.aggregate(cross(first), F.lit(0.0), lambda s, v: s + v * v)) > tiny * float(np.linalg.norm(first)) * size
+        else:
+            normal = np.cross(chosen[0].xyz, chosen[1].xyz)
+            along = sum(F.lit(float(normal[i])) * F.get("xyz", i) for i in range(3))
+            apart = F.abs(along) > tiny * float(np.linalg.norm(normal)) * size
+        found = points.filter(apart).select("point3D_id", "xyz", "is_constant").orderBy(F.col("is_constant").desc(), "point3D_id").first()
+        if found is None:
+            break
+        chosen.append(found)
+    return [r.point3D_id for r in chosen if not r.is_constant]
 
 
 def gauge_two_frames(frames: DataFrame) -> tuple[int, int, int] | None:

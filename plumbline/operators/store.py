@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from plumbline import schemas
 from plumbline.operators import checks, sampling
 from plumbline.functions.naming import stem
+from plumbline.staging import remove
 
 SIGMA_SPACES = ("log", "linear", "inverse")
 
@@ -57,6 +58,13 @@ class Store:
         bad = F.raise_error(F.lit(f"a row of {sensor} has not {k} modes")).cast("boolean")
         return self.rows(sensor).filter(F.col("image_id") == image_id).filter(F.when(F.size("modes") == k, F.lit(True)).otherwise(bad))
 
+    def factors(self, sensor: str, depth_space: str) -> DataFrame:
+        """The rows of a sensor for an adjustment in ``depth_space``; sigmas kept in another space are refused, not converted."""
+        space = self.sensor_meta(sensor).sigma_space
+        if space is not None and space != depth_space:
+            raise NotImplementedError(f"the sigmas of {sensor!r} are in {space!r} space, the adjustment is in {depth_space!r}")
+        return self.rows(sensor)
+
     def write(self, rows: DataFrame, meta: dict, *, force: bool = False, keypoints: DataFrame | None = None) -> None:
         """Publish a sensor's rows; refused without ``force`` where the sensor exists, and whenever a check fails."""
         sensor = meta["sensor"]
@@ -67,8 +75,11 @@ class Store:
         staged = f"{self.root}/staging-{uuid.uuid4().hex}"
         rows.withColumn("sensor", F.lit(sensor)).select(schemas.MEASUREMENT.fieldNames()).write.parquet(staged)
         held = self.spark.read.schema(schemas.MEASUREMENT).parquet(staged)
-        self._check(held, meta, keypoints)
-        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sensor").parquet(f"{self.root}/measurements")
+        try:
+            self._check(held, meta, keypoints)
+            held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sensor").parquet(f"{self.root}/measurements")
+        finally:
+            remove(self.spark, staged)
         self._put_meta(meta)
 
     def _check(self, held: DataFrame, meta: dict, keypoints: DataFrame | None) -> None:
@@ -81,9 +92,11 @@ class Store:
         }
         if keypoints is not None:
             wrong["row count"] = checks.incomplete_images(keypoints, held)
-        for name, rows in wrong.items():
-            if (found := rows.limit(3).collect()):
-                raise ValueError(f"{name}: {found}")
+        shown = [rows.select(F.lit(name).alias("rule"), F.to_json(F.struct("*")).alias("row")).limit(3) for name, rows in wrong.items()]
+        for name in shown[1:]:
+            shown[0] = shown[0].unionByName(name)
+        if found := shown[0].collect():  # one job for all rules
+            raise ValueError("; ".join(f"{r.rule}: {r.row}" for r in found))
         if not checks.sigma_space_agrees(held, meta.get("sigma_space")):
             raise ValueError("sigma_space must be given if and only if there are sigmas")
 
@@ -95,12 +108,10 @@ class Store:
         made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sensor").parquet(f"{self.root}/meta")
 
     def delete(self, sensor: str) -> None:
-        """Rewrite both tables without the sensor, its meta row first."""
-        for name, schema in (("meta", schemas.SENSOR_META), ("measurements", schemas.MEASUREMENT)):
-            rest = self._read(name, schema).filter(F.col("sensor") != sensor)
-            staged = f"{self.root}/staging-{uuid.uuid4().hex}"
-            rest.write.parquet(staged)
-            self.spark.read.schema(schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("sensor").parquet(f"{self.root}/{name}")
+        """Drop the sensor's partition of both tables, its meta row first; no other sensor's files are touched."""
+        folder = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(sensor)
+        for name in ("meta", "measurements"):
+            remove(self.spark, f"{self.root}/{name}/sensor={folder}")
 
 
 def attach(store: Store, images: DataFrame, keypoints: DataFrame, bundles: DataFrame, sensor: str, method: str, params: dict | None = None, *, force: bool = False, dump_dir: str = "", dump_hash: str = "") -> None:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import depth as D
+from plumbline.functions import geometry as G
 from plumbline.operators import pairing, problem, solver
 from plumbline.plans import views as V
 from plumbline.plans.declare import r6, registrar
+from plumbline.staging import staged
 
 QUERIES, ORACLE_SQL, query = registrar()
 KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
@@ -169,13 +171,8 @@ def images_per_camera(spark, d):
     return pairing.rig_counts(i, i.select(F.col("camera_id").alias("rig_id")))[1]
 
 
-@query(V.sql(["obs"], """SELECT a.image_id AS id_a, b.image_id AS id_b, count(*) AS shared FROM obs a JOIN obs b ON a.point3D_id = b.point3D_id AND a.image_id < b.image_id WHERE a.image_id < 60 AND b.image_id < 60 GROUP BY ALL HAVING count(*) >= 2"""))
-def initial_pairs(spark, d):
-    return pairing.initial_pairs(V.obs(spark, d).filter("image_id < 60"), 2)
-
-
 @query(V.sql(["seen"], """SELECT a.image_id AS id_a, b.image_id AS id_b, count(*) AS shared FROM seen a JOIN seen b ON a.point3D_id = b.point3D_id AND a.image_id < b.image_id GROUP BY ALL HAVING count(*) >= 2"""))
-def initial_pairs_whole(spark, d):
+def initial_pairs(spark, d):
     return pairing.initial_pairs(V.seen(spark, d), 2)
 
 
@@ -186,14 +183,8 @@ def next_images(spark, d):
     return pairing.next_images(o, ours.select("image_id").distinct(), ours.select("point3D_id").distinct(), 2)
 
 
-@query("SELECT c_nationkey AS scene, a.c_custkey AS id_a, b.c_custkey AS id_b FROM customer a JOIN customer b USING (c_nationkey) WHERE a.c_custkey < b.c_custkey AND a.c_custkey <= 500 AND b.c_custkey <= 500")
-def exhaustive_pairs(spark, d):
-    images = V.table(spark, d, "customer").filter("c_custkey <= 500").select(F.col("c_nationkey").alias("scene"), F.col("c_custkey").alias("image_id"))
-    return pairing.exhaustive_pairs(images, ["scene"])
-
-
 @query("SELECT c_nationkey AS scene, a.c_custkey AS id_a, b.c_custkey AS id_b FROM customer a JOIN customer b USING (c_nationkey) WHERE a.c_custkey < b.c_custkey")
-def exhaustive_pairs_whole(spark, d):
+def exhaustive_pairs(spark, d):
     images = V.table(spark, d, "customer").select(F.col("c_nationkey").alias("scene"), F.col("c_custkey").alias("image_id"))
     return pairing.exhaustive_pairs(images, ["scene"])
 
@@ -218,23 +209,38 @@ def arm_grid(spark, d):
     return pairing.grid(arms, sequences).select(F.col("task").cast("long").alias("task"), "arm", "sequence")
 
 
-def small_scene(spark, n_frames: int = 6, n_points: int = 40, noise: float = 0.05):
-    """A synthetic scene on Spark rows: cameras along a line, points in front, and a start that is off by ``noise``."""
-    p = spark.range(n_points).select(F.col("id").alias("point3D_id"), F.array(((F.col("id") * 37) % 41) / 10.0 - 2, ((F.col("id") * 17) % 23) / 8.0 - 1.4, 5 + ((F.col("id") * 29) % 31) / 10.0).alias("xyz"))
-    f = spark.range(n_frames).select(F.col("id").alias("frame_id"), F.array(*(F.lit(float(i % 4 == 0)) for i in range(9))).alias("rotation"), F.array(-F.col("id") * 0.3, F.lit(0.0), F.lit(0.0)).alias("translation"))
+def scene_of(seen, noise: float = 0.05, fixed: int = 2):
+    """A scene for an observation graph (image_id, point3D_id): true cameras and points by formulas of their ids, and a start off by ``noise``.
+
+    Frames with an id of up to ``fixed`` are constant and true.  Gives (reprojections, start, depth rows, true frames).
+    """
+    k = F.col("point3D_id")
+    p = seen.select("point3D_id").distinct().withColumn("xyz", F.array((k * 37 % 41) / 10.0 - 2, (k * 17 % 23) / 8.0 - 1.4, 5 + (k * 29 % 31) / 10.0))
+    n = F.col("frame_id")
+    f = seen.select(F.col("image_id").alias("frame_id")).distinct()
+    f = f.withColumn("rotation", F.array(*(F.lit(float(i % 4 == 0)) for i in range(9)))).withColumn("translation", F.array(-(n % 37) * 0.05, (n % 23) * 0.04, (n % 11) * 0.05))
     z = lambda i: F.get("xyz", i) + F.get("translation", i)
-    pixels = f.crossJoin(F.broadcast(p)).select("frame_id", "point3D_id", (500 * z(0) / z(2) + 320).alias("x"), (500 * z(1) / z(2) + 240).alias("y"), F.lit(500.0).alias("fx"), F.lit(500.0).alias("fy"), F.lit(320.0).alias("cx"), F.lit(240.0).alias("cy"), z(2).alias("z"))
+    rows = seen.select(F.col("image_id").alias("frame_id"), "point3D_id").join(f, "frame_id").join(p, "point3D_id")
+    pixels = rows.select("frame_id", "point3D_id", (500 * z(0) / z(2) + 320).alias("x"), (500 * z(1) / z(2) + 240).alias("y"), F.lit(500.0).alias("fx"), F.lit(500.0).alias("fy"), F.lit(320.0).alias("cx"), F.lit(240.0).alias("cy"), z(2).alias("z"))
     off = lambda c, k: F.transform(c, lambda v, i: v + noise * (((F.col(k) * 13 + i * 7) % 11) / 11.0 - 0.5))
-    frames = f.withColumn("is_constant", F.col("frame_id") < 2).withColumn("translation", F.when(F.col("frame_id") < 2, F.col("translation")).otherwise(off("translation", "frame_id")))
+    frames = f.withColumn("is_constant", n <= fixed).withColumn("translation", F.when(n <= fixed, F.col("translation")).otherwise(off("translation", "frame_id")))
     points = p.withColumn("xyz", off("xyz", "point3D_id")).withColumn("is_constant", F.lit(False))
-    affine = f.select(F.col("frame_id").alias("key"), F.lit(1.1).alias("alpha"), F.lit(0.0).alias("beta"), F.lit(False).alias("is_constant"))
+    affine = f.select(n.alias("key"), F.lit(1.1).alias("alpha"), F.lit(0.0).alias("beta"), F.lit(False).alias("is_constant"))
     m = pixels.select("frame_id", "point3D_id", F.col("frame_id").alias("key"), F.array(F.col("z"), F.col("z") * 1.5).alias("modes"), F.array(F.lit(0.9), F.lit(0.1)).alias("weights"), F.array(F.lit(0.05), F.lit(0.05)).alias("sigmas"))
-    return pixels.drop("z"), solver.State(frames, points, affine), m
+    return pixels.drop("z"), solver.State(frames, points, affine), m, f
 
 
 @query()
 def adjusted_scene(spark, d):
-    """Costs of a small scene with depth factors, round by round; tested for convergence to the truth."""
-    reproj, state, depth = small_scene(spark, 4, 20)
-    _, costs, _ = solver.solve(reproj, state, solver.Options(rounds=3), depth)
-    return spark.createDataFrame([(i, float(c)) for i, c in enumerate(costs)], "round int, cost double")
+    """The scene of all customers (frames) and the parts they ordered (points), adjusted jointly with depth factors.
+
+    Per frame: its observations, and the distance of its centre from the true one before and after.  Tested against a
+    dense solve.
+    """
+    seen = staged(V.seen(spark, d).filter("point3D_id IS NOT NULL"), "seen")
+    reproj, start, depth, truth = scene_of(seen)
+    reproj, depth = staged(reproj, "pixels"), staged(depth, "depths")
+    got, _, _ = solver.solve(reproj, start, solver.Options(rounds=6), depth)
+    apart = lambda t: G.norm(G.sub(F.col(t), F.col("true")))
+    both = start.frames.select("frame_id", F.col("translation").alias("before")).join(got.frames.select("frame_id", F.col("translation").alias("after")), "frame_id").join(truth.select("frame_id", F.col("translation").alias("true")), "frame_id")
+    return both.join(seen.groupBy(F.col("image_id").alias("frame_id")).agg(F.count("*").alias("n")), "frame_id").select("frame_id", "n", apart("before").alias("error_before"), apart("after").alias("error_after"))

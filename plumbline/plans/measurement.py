@@ -23,10 +23,8 @@ def pixel_index_clip(spark, d):
 
 @query(V.sql(["bundle", "kp"], f", {LOCATED} SELECT image_id, count(*) AS n, round(median((d[v * 8 + u + 1])::FLOAT::DOUBLE), 5) AS median_depth FROM located WHERE NOT is_sky GROUP BY image_id").replace("\n, located", ",\nlocated"))
 def unimodal_depth(spark, d):
-    keypoints = V.kp(spark, d)
-    rows = sampling.unimodal(V.bundle(spark, d), keypoints).drop("is_sky").join(keypoints.select("image_id", "point2D_idx", "is_sky"), ["image_id", "point2D_idx"])
-    kept = rows.filter(checks.not_sky(F.col("is_sky")))
-    return kept.groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.median(F.get("modes", 0).cast("double")), 5).alias("median_depth"))
+    keypoints = V.kp(spark, d).filter(checks.not_sky(F.col("is_sky"))).drop("is_sky")
+    return sampling.unimodal(V.bundle(spark, d), keypoints).groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.median(F.get("modes", 0).cast("double")), 5).alias("median_depth"))
 
 
 @query(V.sql(["stack", "kp"], f"""SELECT image_id, point2D_idx::BIGINT AS point2D_idx, m::BIGINT AS mode, round(means[m * 16 + v * 4 + u + 1]::FLOAT::DOUBLE, 5) AS depth, round((0.1::DOUBLE * means[m * 16 + v * 4 + u + 1])::FLOAT::DOUBLE, 5) AS sigma
@@ -146,8 +144,7 @@ def audit_problems(spark, d):
   round(avg((abs(ln(modes[2] / modes[1])) > 1e-6)::INT), 6) AS bimodal_rate FROM meas WHERE NOT is_sky AND modes[1] > 0 GROUP BY sensor"""))
 def audit_statistics(spark, d):
     rows = V.meas(spark, d).filter(F.get("modes", 0) > 0)
-    parts = [checks.audit_statistics(rows.filter(F.col("sensor") == s)).withColumn("sensor", F.lit(s)) for s in ("A", "N", "R")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("bimodal_rate", F.round("bimodal_rate", 6)).filter("n > 0")
+    return checks.audit_statistics(rows, ["sensor"]).withColumn("bimodal_rate", F.round("bimodal_rate", 6))
 
 
 @query("SELECT lang, sha256(string_agg(doc_id::VARCHAR || ':' || n_chars::VARCHAR || chr(10), '' ORDER BY doc_id::VARCHAR)) AS digest FROM documents GROUP BY lang")
@@ -226,10 +223,10 @@ def snapshot_names(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey", naming.snapshot_name(F.col("o_orderdate").cast("timestamp")).alias("snapshot"))
 
 
-@query("SELECT e AS model FROM (SELECT unnest([o_orderstatus, o_orderkey::VARCHAR, 'x' || o_orderkey::VARCHAR]) AS e FROM orders) WHERE regexp_matches(e, '^[0-9]+$') ORDER BY e::BIGINT LIMIT 50")
+@query("SELECT e AS model FROM (SELECT unnest([o_orderstatus, o_orderkey::VARCHAR, 'x' || o_orderkey::VARCHAR]) AS e FROM orders) WHERE regexp_matches(e, '^[0-9]+$')")
 def submodels(spark, d):
     names = V.table(spark, d, "orders").select(F.explode(F.array("o_orderstatus", F.col("o_orderkey").cast("string"), F.concat(F.lit("x"), F.col("o_orderkey").cast("string")))).alias("model"))
-    return names.filter(naming.is_submodel(F.col("model"))).orderBy(F.col("model").cast("long")).limit(50)
+    return names.filter(naming.is_submodel(F.col("model")))
 
 
 @query("SELECT n_nationkey::BIGINT AS n, CASE WHEN n_nationkey % 2 = 0 THEN replace('out/{sequence}/db', '{sequence}', n_name) END AS path FROM nation")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline import schemas
 from plumbline.functions import naming
+from plumbline.operators import checks
 
 KNOWN = {"estimated_depth", "means", "weights", "sigmas", "confidence", "sky_mask"}
 
@@ -61,6 +62,37 @@ def read_bundles(spark: SparkSession, folder: str, expected_hw: tuple[int, int]
     return _files(spark, folder, "*.npz").select("stem", "content").mapInPandas(run, schemas.BUNDLE)
 
 
+def write_bundles(bundles: DataFrame, folder: str, expected_hw: tuple[int, int] | None = None) -> None:
+    """Bundles (rows of the bundle schema) as a Parquet table; any row with a broken shape, pairing or grid is refused.
+
+    Arrays that a bundle lacks stay null and take no space.
+    """
+    wrong = checks.bundle_problems(bundles.withColumn("image_id", F.col("stem")), expected_hw).limit(3).collect()
+    if wrong:
+        raise ValueError("; ".join(f"{r.image_id}: {r.rule}" for r in wrong))
+    bundles.select(schemas.BUNDLE.fieldNames()).write.option("compression", "zstd").parquet(folder)
+
+
+def bundle_files(bundles: DataFrame) -> DataFrame:
+    """stem and content: the compressed array file of each bundle, with the arrays that are there."""
+
+    def run(batches):
+        for pdf in batches:
+            content = []
+            for row in pdf.itertuples():
+                held = {}
+                for name in ("estimated_depth", "confidence", "sky_mask", "means", "weights", "sigmas"):
+                    if (values := getattr(row, name)) is not None:
+                        grid = (row.h, row.w) if name in ("estimated_depth", "confidence", "sky_mask") else (row.k, row.h, row.w)
+                        held[name] = np.asarray(values, bool if name == "sky_mask" else np.float32).reshape(grid)
+                out = io.BytesIO()
+                np.savez_compressed(out, **held)
+                content.append(out.getvalue())
+            yield pd.DataFrame({"stem": pdf["stem"], "content": content})
+
+    return bundles.select(schemas.BUNDLE.fieldNames()).mapInPandas(run, "stem string, content binary")
+
+
 def bundle_stems(spark: SparkSession, folder: str) -> DataFrame:
     """Stems of the bundle files in a folder."""
     return _files(spark, folder, "*.npz").select("stem")
@@ -164,12 +196,12 @@ def read_trajectory(lines: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: path, text."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """4x4 matrices written as text: path, m (16 numbers)."""
-    return read_texts(spark, path).select("path", F.transform(F.split(F.trim("text"), r"\s+"), lambda x: x.cast("double")).alias("m"))
+    return read_texts(spark, path).select("path", F.transform(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)), lambda x: x.cast("double")).alias("m"))
 
 
 def read_model(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -196,9 +228,22 @@ def model_lines(images: DataFrame) -> DataFrame:
     return images.select("image_id", F.concat(head, F.lit("\n")).alias("value"))
 
 
-def write_model_images(images: DataFrame, path: str) -> None:
-    """One ordered text file; a model has one row an image."""
-    model_lines(images).repartitionByRange(1, "image_id").sortWithinPartitions("image_id").select("value").write.text(path)
+def camera_lines(cameras: DataFrame) -> DataFrame:
+    """Lines of a cameras.txt: camera_id, model, size and parameters."""
+    words = F.concat_ws(" ", F.col("camera_id").cast("string"), "model", F.col("width").cast("string"), F.col("height").cast("string"), F.array_join(F.transform("params", lambda x: x.cast("string")), " "))
+    return cameras.select("camera_id", words.alias("value"))
+
+
+def point_lines(points: DataFrame) -> DataFrame:
+    """Lines of a points3D.txt without tracks: id, place, a grey colour and the error."""
+    words = F.concat_ws(" ", F.col("point3D_id").cast("string"), *(F.get("xyz", i).cast("string") for i in range(3)), F.lit("128 128 128"), F.coalesce("error", F.lit(-1.0)).cast("string"))
+    return points.select("point3D_id", words.alias("value"))
+
+
+def write_model(cameras: DataFrame, images: DataFrame, points: DataFrame, folder: str) -> None:
+    """A reconstruction in text form: a folder a table, each an ordered text."""
+    for name, lines, key in (("cameras.txt", camera_lines(cameras), "camera_id"), ("images.txt", model_lines(images), "image_id"), ("points3D.txt", point_lines(points), "point3D_id")):
+        lines.repartitionByRange(1 if name == "images.txt" else 4, key).sortWithinPartitions(key).select("value").write.text(f"{folder}/{name}")
 
 
 def read_view_metrics(spark: SparkSession, path: str, iteration: str) -> DataFrame:

@@ -5,17 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder in ``spark.checkpoint.dir`` (a temporary one only where it is unset) and read back."""
+def _root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset and one machine does all."""
     global _own
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        _own = root = _own or tempfile.mkdtemp(prefix="plumbline-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    _own = _own or tempfile.mkdtemp(prefix="plumbline-")
+    return _own
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
+    path = f"{_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._staged_at = path
+    return held
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*held: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; other tables are left alone."""
+    for df in held:
+        if path := getattr(df, "_staged_at", None):
+            remove(df.sparkSession, path)

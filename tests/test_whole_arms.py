@@ -11,4 +11,4 @@ def test_scenes_with_all_arms_through_any_image(spark, tmp_path):
     spark.createDataFrame([(scene * 50 + i, scene) for scene in seen for i in range(50)], "c_custkey long, c_nationkey long").write.parquet(f"{d}/customer.parquet")
     orders = [(scene * 50 + i, a, 1.0) for scene, images in seen.items() for i, arms in images for a in arms]
     spark.createDataFrame(orders, "o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(f"{d}/orders.parquet")
-    assert sorted(r.scene for r in registry.QUERIES["all_arms_scenes_whole"](spark, d).collect()) == [1, 2]
+    assert sorted(r.scene for r in registry.QUERIES["all_arms_scenes"](spark, d).collect()) == [1, 2]

@@ -1,4 +1,4 @@
-"""Pairs over whole tables, against brute force on small fixtures past the id cuts of exhaustive_pairs and initial_pairs."""
+"""Pairs over whole tables, against brute force on small fixtures."""
 
 from collections import Counter
 
@@ -23,7 +23,7 @@ def _pairs(scenes):
 
 
 def test_exhaustive_pairs_of_all_customers(spark, folder):
-    got = Counter(tuple(r) for r in registry.QUERIES["exhaustive_pairs_whole"](spark, folder).select("scene", "id_a", "id_b").collect())
+    got = Counter(tuple(r) for r in registry.QUERIES["exhaustive_pairs"](spark, folder).select("scene", "id_a", "id_b").collect())
     assert got == _pairs({s: [k for k in range(1, 621) if k % 3 == s] for s in range(3)})
 
 
@@ -42,5 +42,5 @@ def test_initial_pairs_of_all_images(spark, folder):
             if n * m % 13 + 1 > 5:
                 points.setdefault(1 + n % 70 * 9, set()).add((n * m * m) % 1201)
     expected = {(a, b, len(points[a] & points[b])) for a in points for b in points if a < b and len(points[a] & points[b]) >= 2}
-    got = registry.QUERIES["initial_pairs_whole"](spark, folder).select("id_a", "id_b", "shared").collect()
+    got = registry.QUERIES["initial_pairs"](spark, folder).select("id_a", "id_b", "shared").collect()
     assert len(got) == len(expected) and {tuple(r) for r in got} == expected and any(a > 60 for a, _, _ in expected)
