@@ -103,6 +103,13 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: texts on which an encoder's shortcuts are held against its library when a tokenizer is loaded
+PROBES = (
+    "", " ", "one", "  Two  words\n\nand\tTABS \r\n", "don't we'LL I'm they'Ve 'S", "x,y.z!(a)[b]{c}#1 $2 50% a-b_c/d\\e", "3.14159 12345678 1e9", "éÉ ß Straße İ ﬁn naïve",
+    "你好 世界。 привет мир", "\U0001f600\u200b\ufeff\u3000x", "▁a ▁ b▁", "<|endoftext|> a<|startoftext|>b </s> <s> <unk> <0x41>", "=====------ ......, ,,,;;; \"'`~", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa",
+)
+
+
 class Memo(dict):
     """word -> value, computed on a miss; emptied when full and long keys are never kept, so its size is bounded.
 

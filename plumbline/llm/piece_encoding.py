@@ -25,7 +25,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import Memo, by_rows
+from plumbline.llm.common import PROBES, Memo, by_rows
 
 SPACE = "▁"  # the model's stand-in for a space
 #: a newline, spaces with the word after them, or trailing spaces: words never share a piece across these
@@ -64,6 +64,10 @@ class PieceModel:
         self._pairs: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
         self.memo = Memo(self.packed, limit=500_000)
+        if any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in self.ids):
+            raise ValueError("the model has pieces that lie across words; texts cannot be cut between them")
+        if wrong := [t for t in PROBES if self.encode(t) != sp.encode(t, add_bos=True, add_eos=True) or self.decode(self.encode(t)) != sp.decode(self.encode(t))]:
+            raise ValueError(f"the model normalises or merges in a way this encoder does not know: {wrong}")
 
     def remerge(self, text: str) -> list[str]:
         """Merge from single characters: the adjacent pair with the best score first, the leftmost among equals."""

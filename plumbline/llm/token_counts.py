@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Memo, by_rows, stage
+from plumbline.llm.common import PROBES, Memo, by_rows, stage
 
 #: white space that ends no part: the pre-tokenizer's and Python's idea of it may differ
 ODD_SPACE = re.compile(r"[^\S \t\n\r]")
@@ -47,6 +47,8 @@ class Counter:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.parts = Memo(self.count_part, limit=800_000)
+        if wrong := [t for t in PROBES if self.count(t) != len(self.encode(t).ids)]:
+            raise ValueError(f"the tokenizer joins parts in a way that counting by parts does not know: {wrong}")
 
     def encode(self, text: str):
         return self.tokenizer.encode(text, add_special_tokens=False)

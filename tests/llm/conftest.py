@@ -28,6 +28,7 @@ def edge_rows():
         (8, " ".join(word() for _ in range(40_000))), (9, "x" * 70_000), (10, "éÉ 你好 \U0001f600 İ ▁a  b c <|endoftext|> </s> don't we'LL\r\n\n  12345 ﬁn"),
         (11, passage + " tail one"), (12, "head two " + passage), (13, "z " + passage + " y " + passage), (14, "<|startoftext|>AB<|endoftext|> \x00\x1f"), (15, "A-B,c!!! 3.14"), (-3, "minus words here for the key"),
     ]
+    texts.append((16, " ".join(word() for _ in range(190_000))))  # over a megabyte
     return [(i, t, None if i == 4 else "en", None, None if t is None or i == 5 else len(t)) for i, t in texts]
 
 

@@ -108,13 +108,75 @@ def test_classifiers_on_edge_cases(spark, module, edge_docs, empty_docs, documen
     assert kept.columns == edge_docs.columns and all(r.spans == "own spans" for r in kept.collect())
 
 
-def test_machine_scores_by_the_identity():
-    from plumbline.llm.quality import Machine  # noqa: F401
+def test_machine_scores_are_the_explicit_sum(spark, documents):
+    """Whole documents through the features and the identity, against the double sum over all pairs of features."""
+    import math
+
+    from plumbline.llm import quality as Q
+
+    rng = np.random.default_rng(4)
+    rows = documents.filter("length(text) < 3000").orderBy("doc_id").limit(6).select("doc_id", "text", "n_chars").collect()
+    texts = [(r.text, r.n_chars) for r in rows] + [("", 0), (None, None), ("one", 3), ("a a a  b|#\n\n9", 12)]
+    stats = np.array([Q.statistics((t or "").encode(), (t or "").encode().split(), n) for t, n in texts])
+    machine = Q.Machine(np.quantile(stats, np.linspace(0, 1, Q.BINS + 1)[1:-1], axis=0).T.astype(np.float32).copy(), 0.3)
+    machine.weights = rng.normal(size=machine.weights.shape).astype(np.float32)
+    machine.factors = rng.normal(size=machine.factors.shape).astype(np.float32) * np.float32(0.4)
+    expected = []
+    for (text, _), row in zip(texts, stats.astype(np.float32), strict=True):
+        words = (text or "").encode().split()
+        x = {Q.WORD_SPACE + s * Q.BINS + sum(e <= row[s] for e in machine.edges[s]): 1 / math.sqrt(Q.STATS) for s in range(Q.STATS)}
+        for w in words:
+            k = zlib.crc32(w) % Q.WORD_SPACE
+            x[k] = x.get(k, 0) + 1 / len(words)
+        z = machine.bias + sum(float(machine.weights[i]) * v for i, v in x.items())
+        names = list(x)
+        z += sum(float(machine.factors[i].astype(np.float64) @ machine.factors[j].astype(np.float64)) * x[i] * x[j] for n, i in enumerate(names) for j in names[:n])
+        expected.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    docs = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.score for r in Q.score(docs, machine).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(expected, abs=1e-4)
+
+
+def plain_window(network, words):
+    """Logit of one window by plain loops: gated steps forwards and backwards, then attention over the states."""
+    from plumbline.llm import toxicity as T
+
+    p = {k: v.astype(np.float64) for k, v in network.p.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    inputs = []
+    for w in T.bare_words(words):
+        g = [p["gram"][i] for i in T.grams([w])[0]]
+        inputs.append(np.concatenate([p["word"][zlib.crc32(w) % T.WORD_SPACE], np.mean(g, axis=0), np.max(g, axis=0)]))
+    states = [[], []]
+    for side, d in enumerate("fr"):
+        h, H = np.zeros(T.HIDDEN), T.HIDDEN
+        for x in inputs if d == "f" else inputs[::-1]:
+            gate, hu = x @ p[f"wx{d}"] + p[f"b{d}"], h @ p[f"u{d}"]
+            z, r = sigmoid(gate[:H] + hu[:H]), sigmoid(gate[H : 2 * H] + hu[H : 2 * H])
+            h = (1 - z) * np.tanh(gate[2 * H :] + r * hu[2 * H :]) + z * h
+            states[side].append(h)
+    both = [np.concatenate(s) for s in zip(states[0], states[1][::-1], strict=True)] or [np.zeros(2 * T.HIDDEN)]
+    weight = np.exp([np.tanh(s @ p["wa"]) @ p["va"] for s in both])
+    return float((weight[:, None] * both).sum(0) / weight.sum() @ p["wo"] + p["bo"][0])
+
+
+def test_toxicity_is_the_worst_window_by_plain_loops(spark):
+    """Whole documents through the operator, against every overlapping window scored alone."""
+    import random
+
+    from plumbline.llm import toxicity as T
 
-    rng = np.random.default_rng(0)
-    v, x = rng.normal(size=(6, 3)), rng.normal(size=6)
-    pairs = sum(v[i] @ v[j] * x[i] * x[j] for i in range(6) for j in range(i))
-    assert np.isclose(pairs, 0.5 * (((x @ v) ** 2) - (x**2) @ (v**2)).sum())
+    rng, random_ = np.random.default_rng(6), random.Random(6)
+    network = T.Network.start(rng.normal(0, 1, T.WORD_SPACE).astype(np.float32), rng.normal(0, 1, T.GRAM_SPACE).astype(np.float32))
+    word = lambda: "".join(random_.choice("abcdeF,é!") for _ in range(random_.randint(1, 14)))
+    texts = [None, "", " \n", "x", *(" ".join(word() for _ in range(n)) for n in (1, 5, 12, 13, 23, 24, 25, 35, 36, 37, 48, 49, 130))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in T.score(docs, network).collect()}
+    for i, text in enumerate(texts):
+        words = (text or "").encode().lower().split()
+        starts = [s for s in range(0, max(len(words), 1), T.STRIDE) if s == 0 or s + T.WINDOW - T.STRIDE < len(words)]
+        worst = max(plain_window(network, words[s : s + T.WINDOW]) for s in starts)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-worst)), abs=2e-4), (i, len(words))
 
 
 def test_network_gradients():
@@ -148,6 +210,7 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
     from test_texts import brute_near, check_packed, library_pieces, rows_of
 
     from plumbline.llm import quality, toxicity
+    from plumbline.llm.repeats import PASSAGE
 
     sf = "/root/testdata/sf0.001"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -160,13 +223,14 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
     data = [t.encode() for _, t in texts]
     from collections import Counter
 
-    seen = Counter(b[i : i + 400] for b in data for i in range(len(b) - 399))
+    n = PASSAGE.length
+    seen = Counter(b[i : i + n] for b in data for i in range(len(b) - n + 1))
     final = []
     for (d, _), b in zip(texts, data, strict=True):
         gone = bytearray(len(b))
-        for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\x01" * 400
+        for i in range(len(b) - n + 1):
+            if seen[b[i : i + n]] > 1:
+                gone[i : i + n] = b"\x01" * n
         final.append((d, bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")))
     got = P.run(spark, sf).collect()
     assert sorted(map(repr, ((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got))) == sorted(map(repr, library_pieces(final, 4096)))

@@ -148,8 +148,7 @@ def test_cover_tree_invariants_and_search():
                 c = x[tree.centre[list(below)]]
                 apart = np.linalg.norm(c[:, None] - c[None], axis=2)[~np.eye(len(c), dtype=bool)]
                 assert (tree.radius[list(below)] <= tree.cover[n] * (1 + 1e-9) + 1e-9).all() and (apart >= tree.cover[n] - 1e-9).all()
-            else:
-                assert tree.high[n] - tree.low[n] <= 8 or tree.radius[n] == 0
+                assert tree.cover[n] <= tree.radius[n] / 1.3 + 1e-9
         q, ids = x[::7] + 1, np.arange(0, len(x), 7)
         best, scored = search(q, ids, np.full(len(q), -np.inf), x, np.arange(len(x)), 5)
         for row, i in enumerate(ids):
