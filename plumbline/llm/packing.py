@@ -1,10 +1,11 @@
 """Operator 6: best-fit packing of token sequences with Martello-Toth dominance reduction.
 
 Method.  The plan needs only the number of pieces of each length, at most ``capacity`` rows however large the corpus
-is; that histogram alone reaches the driver.  There the reduction fixes sets of pieces that provably dominate
+is; that histogram, by salt, alone reaches the driver.  There the reduction fixes sets of pieces that provably dominate
 whatever else a sequence with the same longest piece could hold, and shrinks the instance; what is left goes best-fit
-in decreasing order.  Equal lengths are handled as one class with a count.  The plan is a bounded list of patterns
-(lengths in a sequence, times the pattern is used).
+in decreasing order.  Equal lengths are handled as one class with a count.  The plan is a list of patterns (lengths in a
+sequence, times the pattern is used), bounded whatever the size of the corpus: each pattern is made by using up a class or
+an open pattern, so there are at most five for each of ``capacity`` lengths.
 
 The pieces then find their places on Spark: each piece gets a rank within its length (by salted counting: per length
 and salt, so that a length which a third of all pieces share is no single group), and ranks of a length are dealt to
@@ -26,11 +27,12 @@ from functools import lru_cache
 from itertools import compress
 from operator import not_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Memo, by_rows, stage, texts_of
+from plumbline.llm.common import PROBES, Memo, by_rows, stage, texts_of
 
 END_ID = 1
 SIGNS = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
@@ -54,6 +56,9 @@ class WordCoder:
         self.ends = {i for t, i in vocab.items() if t.endswith("</w>")}
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = Memo(self.encode_word, limit=400_000)
+        made = self.encode_all([t.encode() for t in PROBES])
+        if wrong := [t for t, ids in zip(PROBES, made, strict=True) if ids != self.encode_whole(t.encode())]:
+            raise ValueError(f"the tokenizer splits or normalises in a way that word-by-word encoding does not know: {wrong}")
 
     @staticmethod
     def letters(word: bytes) -> str | None:
@@ -259,25 +264,27 @@ def pack(pieces: DataFrame, capacity: int = 4096, salts: int = 64) -> DataFrame:
     # at most capacity x salts rows, whatever the size of the corpus
     tally = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()
     counts: dict[int, int] = {}
-    before = []
+    before: dict[int, np.ndarray] = {}
     for r in sorted(tally, key=lambda r: (r.length, r.salt)):
-        before.append((r.length, r.salt, counts.get(r.length, 0)))
+        before.setdefault(r.length, np.zeros(salts, np.int64))[r.salt] = counts.get(r.length, 0)
         counts[r.length] = counts.get(r.length, 0) + r.n
-    ranges = {k: v for k, v in place(counts, capacity).items()}
-    firsts = spark.createDataFrame(before, "length long, salt int, before long")
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row")
-    ranked = pieces.withColumn("rank", F.row_number().over(order)).join(F.broadcast(firsts), ["length", "salt"])
-    ranked = ranked.withColumn("rank", F.col("rank") - 1 + F.col("before"))
-    shared = spark.sparkContext.broadcast({k: tuple(zip(*v, strict=True)) for k, v in ranges.items()})
-    names = ["doc_id", "row", "piece", "start", "length", "ids_crc32", "rank"]
+    ranked = pieces.withColumn("rank", F.row_number().over(order))
+    # capacity x salts counts and the bounded plan, as arrays
+    first = {x: [np.array(c, np.int64) for c in zip(*v, strict=True)] for x, v in place(counts, capacity).items()}
+    shared = spark.sparkContext.broadcast((before, first))
+    names = ["doc_id", "row", "piece", "start", "length", "ids_crc32", "salt", "rank"]
 
     def run(cols):
-        table, sequence, offset = shared.value, [], []
-        for length, rank in zip(cols["length"].to_pylist(), cols["rank"].to_pylist(), strict=True):
-            first, seq, off = table[length]
-            at = bisect.bisect_right(first, rank) - 1
-            sequence.append(seq[at] + rank - first[at])
-            offset.append(off[at])
+        before, table = shared.value
+        length, salt, rank = (cols[c].to_numpy() for c in ("length", "salt", "rank"))
+        sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+        for x in np.unique(length):
+            rows = np.flatnonzero(length == x)
+            here = rank[rows] - 1 + before[x][salt[rows]]
+            first, seq, off = table[x]
+            at = np.searchsorted(first, here, "right") - 1
+            sequence[rows], offset[rows] = seq[at] + here - first[at], off[at]
         kept = {c: cols[c] for c in ("doc_id", "row", "piece", "start", "length", "ids_crc32")}
         return kept | {"sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())}
 
