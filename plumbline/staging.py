@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: str | None = None
 
@@ -31,6 +32,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return held
 
 
+def staged_with_sum(df: DataFrame, name: str, value: Column) -> tuple[DataFrame, float]:
+    """The staged table, and the sum of ``value`` over its rows, which the same job gathers."""
+    seen = Observation()
+    held = staged(df.observe(seen, F.sum(value).alias("total")), name)
+    return held, float(seen.get["total"] or 0.0)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder in whatever store it lies."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
