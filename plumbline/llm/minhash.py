@@ -7,8 +7,8 @@ similarity, and only candidates whose estimate is within reach of the threshold
 
 Documents with equal sets form one class; its smallest doc_id stands for it.  Within a bucket not all pairs are made:
 each class is paired with a few hubs of its bucket, confirmed links give components, and only pairs that lie in
-different components are looked at again, block against block, where signatures are compared in the task and only
-those within reach of the threshold come out.
+different components are looked at again, block against block: first signatures alone, which leaves the members that have
+one within reach of the threshold in another component, then the full sets of those members and no others.
 
 Defined results: a null, empty or blank text has the empty set and links with nothing; a text of fewer than five
 words has its whole sequence as its one shingle; repeated rows are one class; rows with a null doc_id link with
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from plumbline.llm.common import by_rows, stage, texts_of
+from plumbline.llm.common import by_rows, discard, small_batches, stage, texts_of
 from plumbline.llm.components import connected_components
 
 WORDS = 5
@@ -146,38 +146,95 @@ def linked(common: Column, n_a: Column, n_b: Column) -> Column:
     return THRESHOLD[1] * common >= THRESHOLD[0] * (n_a + n_b - common)
 
 
-def _confirm_block(pdf):
-    """Links between members of different components in two blocks of a bucket, each pair in its first common band."""
-    import pandas as pd
-
-    sig = np.stack(pdf["sig"].to_numpy()).astype(np.int64).view(np.uint64)
-    bands = np.stack(pdf["bands"].to_numpy())
-    sets = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["shingles"]]
-    size, comp, cls, block = np.array([len(s) for s in sets]), pdf["comp"].to_numpy(), pdf["cls"].to_numpy(), pdf["block"].to_numpy()
-    one, two = pdf["one"].iat[0], pdf["two"].iat[0]
-    odd, floor = np.uint64((1 << 64) // 3), within_reach()
-    band = int(np.flatnonzero(bands[0] == pdf["key"].iat[0])[0])
-    right = np.flatnonzero(block == two)
-    out = []
-    for i in np.flatnonzero(block == one):
-        j = right[(comp[right] != comp[i]) & (cls[right] > cls[i])] if one == two else right[comp[right] != comp[i]]
-        j = j[100 * np.minimum(size[j], size[i]) >= 75 * np.maximum(size[j], size[i])]
-        x = sig[j] ^ sig[i]
-        equal = HASHES - np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=1).astype(np.int64)
-        chance = 1 / (1 << BITS)
-        j = j[(equal / HASHES - chance) / (1 - chance) >= floor]
-        j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
-        if len(j):
-            joined = np.concatenate([sets[k] for k in j])
-            at = np.searchsorted(sets[i], joined)
-            at[at == size[i]] = 0
-            common = np.add.reduceat((sets[i][at] == joined).astype(np.int64), np.concatenate([[0], np.cumsum(size[j])[:-1]]))
-            ok = THRESHOLD[1] * common >= THRESHOLD[0] * (size[i] + size[j] - common)
-            out += [(cls[i], cls[k]) for k in j[ok]]
-    return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
-
-
-def near_duplicates(docs: DataFrame, block_rows: int = 256) -> DataFrame:
+#: pairs of signatures that are compared at once
+PAIRS = 1 << 19
+
+
+class Members:
+    """Members of whole groups (two blocks of a bucket each, all columns of ``NAMES``), in the order of groups."""
+
+    NAMES = ("key", "one", "two", "cls", "comp", "block", "n_shingles", "sig", "bands")
+
+    def __init__(self, table: pa.Table):
+        column = lambda n: table.column(n).combine_chunks()
+        self.key, self.one, self.two, self.cls, self.comp, self.block, self.size = (column(n).to_numpy() for n in self.NAMES[:7])
+        self.sig = column("sig").flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
+        self.bands = column("bands").flatten().to_numpy().reshape(-1, BANDS)
+        new = np.concatenate([[True], (self.key[1:] != self.key[:-1]) | (self.one[1:] != self.one[:-1]) | (self.two[1:] != self.two[:-1])])
+        first = np.flatnonzero(new)
+        self.low = first[np.cumsum(new) - 1]
+        self.many = np.diff(np.append(first, len(new)))[np.cumsum(new) - 1]
+        self.band = (self.bands == self.key[:, None]).argmax(axis=1)
+
+    def within_reach(self):
+        """Pairs (i, j), in portions, of a group's two blocks: of different components, within reach, in their first common band."""
+        odd, floor, chance = np.uint64((1 << 64) // 3), within_reach(), 1 / (1 << BITS)
+        rows = np.flatnonzero(self.block == self.one)
+        total = np.cumsum(self.many[rows])
+        cuts = np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, PAIRS)).tolist() + [len(rows)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            some = rows[a:b]
+            many = self.many[some]
+            i = np.repeat(some, many)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.low[some], many)
+            low, high = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+            ok = (self.block[j] == self.two[j]) & (self.comp[i] != self.comp[j]) & ((self.one[i] != self.two[i]) | (self.cls[j] > self.cls[i])) & (THRESHOLD[1] * low >= THRESHOLD[0] * high)
+            i, j = i[ok], j[ok]
+            x = self.sig[i] ^ self.sig[j]
+            equal = HASHES - np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=1).astype(np.int64)
+            ok = (equal / HASHES - chance) / (1 - chance) >= floor
+            i, j = i[ok], j[ok]
+            before = ((self.bands[i] == self.bands[j]) & (np.arange(BANDS) < self.band[i][:, None])).any(axis=1)
+            yield i[~before], j[~before]
+
+
+def _by_whole_groups(fn):
+    """Of a partition sorted by (key, one, two): ``fn(table)`` of batches that end with a group."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(n).to_numpy() for n in ("key", "one", "two")]
+            last = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in new]))
+            cut = int(last[-1]) + 1 if len(last) else 0  # rows before the batch's last group
+            same = bool(held) and all(held[-1].column(n)[-1].as_py() == c[-1] for n, c in zip(("key", "one", "two"), new, strict=True))
+            if cut or (held and not same):
+                yield fn(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield fn(pa.Table.from_batches(held))
+
+    return lambda batches: (b for t in run(batches) for b in t.to_batches())
+
+
+def _with_partners(table: pa.Table) -> pa.Table:
+    """The members that have one of another component within reach."""
+    held = np.zeros(table.num_rows, bool)
+    for i, j in Members(table).within_reach():
+        held[i] = True
+        held[j] = True
+    return table.filter(pa.array(held))
+
+
+def _confirmed(table: pa.Table) -> pa.Table:
+    """Links, by full sets (column shingles), between members of different components."""
+    m = Members(table)
+    shingles = table.column("shingles").combine_chunks()
+    flat, at = shingles.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(m.size)])
+    u, v = [], []
+    for i, j in m.within_reach():
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            common = len(np.intersect1d(flat[at[a] : at[a + 1]], flat[at[b] : at[b + 1]], assume_unique=True))
+            if THRESHOLD[1] * common >= THRESHOLD[0] * (m.size[a] + m.size[b] - common):
+                u.append(int(m.cls[a]))
+                v.append(int(m.cls[b]))
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def near_duplicates(docs: DataFrame, block_rows: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     spark = docs.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -205,18 +262,25 @@ def near_duplicates(docs: DataFrame, block_rows: int = 256) -> DataFrame:
     mixed = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high")
     blocks = F.ceil(F.col("n") / block_rows).cast("int")
     member = member.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    member = member.join(classes.select("cls", "sig", "bands"), "cls").join(sets, "cls")
+    member = member.join(classes.select("cls", "sig", "bands", "n_shingles"), "cls")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     member = member.select("*", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    cross = member.select("key", "one", "two", "cls", "comp", "block", "sig", "bands", "shingles").repartition(spread * 4, "key", "one", "two").groupBy("key", "one", "two").applyInPandas(_confirm_block, "u long, v long")
+    pair = ["key", "one", "two"]
+    member = member.select(*Members.NAMES)
+    small_batches(spark)
+    near = stage(member.repartition(spread * 2, *pair).sortWithinPartitions(*pair).mapInArrow(_by_whole_groups(_with_partners), member.schema), "near-members")
+    cross = near.join(sets, "cls").repartition(spread, *pair).sortWithinPartitions(*pair).mapInArrow(_by_whole_groups(_confirmed), "u long, v long")
     label = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"{side}_comp"))
     cross = cross.join(label("u"), "u", "left").join(label("v"), "v", "left").select(F.coalesce("u_comp", "u").alias("u"), F.coalesce("v_comp", "v").alias("v"))
     second = connected_components(cross)
+    discard(sets, near)
 
     labels = first.unionByName(second.select("node", F.col("node").alias("component")).join(first.select("node"), "node", "left_anti"))
     labels = labels.join(second.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select(F.col("node").alias("cls"), F.coalesce("top", "component").alias("comp"))
     least = labels.join(classes.select("cls", "doc_id"), "cls").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_class = classes.select("cls", F.col("doc_id").alias("own")).join(labels.join(least, "comp"), "cls", "left").select("cls", F.coalesce("component_id", "own").alias("component_id"))
+    of_class = stage(of_class, "class-components")  # written, so that the rows of a class that very many share can be split over tasks
+    discard(classes, buckets, first)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     found = signed.join(of_class, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"))
