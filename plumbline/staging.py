@@ -48,5 +48,5 @@ def remove(spark: SparkSession, path: str) -> None:
 def discard(*held: DataFrame) -> None:
     """Delete staged tables that nothing reads any more; other tables are left alone."""
     for df in held:
-        if path := getattr(df, "_staged_at", None):
+        if path := df.__dict__.get("_staged_at"):
             remove(df.sparkSession, path)
