@@ -44,10 +44,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*held: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
+    """Delete staged tables that nothing reads any more; other tables are left alone."""
     for df in held:
+        if not (at := df.__dict__.get("_staged_at")):
+            continue
         spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -56,7 +58,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
-    """Bound an Arrow batch by rows and bytes, so that a worker never holds many long texts at once."""
+    """Bound an Arrow batch by rows and bytes, so that a worker never holds many long texts at once.
+
+    The settings stay with the session: plans run later than they are made.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
