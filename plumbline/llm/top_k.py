@@ -9,10 +9,10 @@ First every query searches the block it lies in, which gives it a kth score to b
 node, go down the tree of cells, level by level, to those cells only whose bound reaches their worst kth score; of these
 each query takes the cells that its own bound reaches.  Scores are exact integers; ties go to the smaller vec_id.
 
-A node of a cover tree has a scale (``cover``): each of its points lies within it of the centre of its child, and the
-centres of its children lie at least as far apart.  The scale is the radius over ``BASE``, or larger where ``FAN``
-centres, each the farthest from those before, do not cover that closely.  Vectors without any structure allow no pruning
-by any such bound, and all pairs of them are scored.
+A node of a cover tree has a scale (``cover``), at most its radius over ``BASE``: each of its points lies within it of
+the centre of its child, and the centres of its children lie at least as far apart.  Points of which ``FAN`` centres,
+each the farthest from those before, do not cover a node that closely stay together as a leaf: vectors without any
+structure allow no pruning by any such bound, and all pairs of them are scored.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a
 null vec_id; vectors of other lengths are no candidates; rows that repeat a vec_id are one candidate each, and a
@@ -35,7 +35,9 @@ BLOCK = 8192
 QUERIES = 1024
 #: points of a leaf, of data and of queries
 LEAF, QUERY_LEAF = 32, 4
-FAN, BASE = 32, 1.3
+FAN, BASE = 256, 1.3
+#: pairs of nodes whose bounds are computed at once
+PAIRS = 1 << 16
 
 
 class CoverTree:
@@ -68,7 +70,9 @@ class CoverTree:
             return []
         nearest = self._away(low, high, centre)
         centres, owner = [centre], np.zeros(high - low, np.int64)
-        while len(centres) < 2 or (len(centres) < FAN and nearest.max() > radius / BASE):
+        while nearest.max() > radius / BASE:
+            if len(centres) == FAN:
+                return []
             new = int(self.order[low + int(nearest.argmax())])
             d = self._away(low, high, new)
             owner[d < nearest] = len(centres)
@@ -118,7 +122,8 @@ def search(q: np.ndarray, q_ids: np.ndarray, kth: np.ndarray, x: np.ndarray, x_i
     slack = lambda up: up + np.abs(up) * 1e-12 + 1e-6
 
     def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        up = np.einsum("ij,ij->i", qc[a], xc[b]) + qt.radius[a] * xt.norm[b] + xt.radius[b] * qt.norm[a] + qt.radius[a] * xt.radius[b]
+        inner = [np.einsum("ij,ij->i", qc[a[k : k + PAIRS]], xc[b[k : k + PAIRS]]) for k in range(0, len(a), PAIRS)]
+        up = (np.concatenate(inner) if inner else np.empty(0)) + qt.radius[a] * xt.norm[b] + xt.radius[b] * qt.norm[a] + qt.radius[a] * xt.radius[b]
         return slack(up)
 
     def least(a: int) -> float:
