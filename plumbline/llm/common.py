@@ -7,50 +7,12 @@ loss.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees, named in ``spark.checkpoint.dir``.
-
-    Where it is unset a temporary folder serves, but only for a master of one machine; on a cluster executors would not
-    see it, so that is an error.
-    """
-    global _local_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="plumbline-")
-    return _local_dir
-
-
-_local_dir: str | None = None
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    held = df.sparkSession.read.schema(df.schema).parquet(path)
-    held._staged_at = path
-    return held
-
-
-def discard(*held: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more; other tables are left alone."""
-    for df in held:
-        if not (at := df.__dict__.get("_staged_at")):
-            continue
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from plumbline.staging import discard as discard
+from plumbline.staging import staged as stage  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

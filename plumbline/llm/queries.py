@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import table
+from plumbline.llm.filter_audit import ORACLE as AUDIT_ORACLE
+from plumbline.llm.line_dedup import ORACLE as LINE_ORACLE
+from plumbline.llm.resampling import ORACLE as RESAMPLING_ORACLE
 from plumbline.llm.sharding import oracle as sharding_oracle
 
 #: production parameters of the placement table: a prime number of slots, over a hundred for each shard
@@ -77,5 +80,28 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_sharding, op4_quality_classifier, op5_piece_encoding, op6_best_fit_packing, op7_exact_top_k, op8_token_counts, op9_toxicity, op10_suffix_array_dedup)}
-ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding_oracle(SHARDS, SLOTS)}
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.line_dedup import line_digest
+
+    return line_digest(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_sharding, op4_quality_classifier, op5_piece_encoding, op6_best_fit_packing, op7_exact_top_k, op8_token_counts, op9_toxicity, op10_suffix_array_dedup, op11_filter_interaction_audit, op12_line_dedup, op13_importance_resampling)}
+ORACLE_SQL: dict[str, str] = {
+    "op3_sharding": sharding_oracle(SHARDS, SLOTS),
+    "op11_filter_interaction_audit": AUDIT_ORACLE,
+    "op12_line_dedup": LINE_ORACLE,
+    "op13_importance_resampling": RESAMPLING_ORACLE,
+}
