@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import geometry as G
+
 
 def strided(names: DataFrame, keys: list[str], name: str, stride: int) -> DataFrame:
     """Every ``stride``-th name in sorted order, with its place among those kept."""
@@ -13,18 +15,28 @@ def strided(names: DataFrame, keys: list[str], name: str, stride: int) -> DataFr
     return kept.withColumn("seq", (F.col("_p") / max(1, stride)).cast("int")).drop("_p")
 
 
-def _pairs_within(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """keys, id_a, id_b of all pairs id_a <= id_b of image_id within each group.
+def _pairs_within(rows: DataFrame, keys: list[str], block: int, carry: str | None = None) -> DataFrame:
+    """keys, id_a, id_b of all pairs id_a <= id_b of image_id within each group; ``carry`` of both, in no order, as c_1 and c_2.
 
     A group is dealt into blocks of about ``block`` images by a hash of the id and joined block by block, so that no
     task holds the pairs of a whole group.
     """
     sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
     dealt = rows.join(sizes, keys).withColumn("_at", F.pmod(F.xxhash64("image_id"), F.col("_n")).cast("int"))
-    a = dealt.select(*keys, F.col("image_id").alias("_a"), F.col("_at").alias("_p"), F.explode(F.sequence("_at", F.col("_n") - 1)).alias("_q"))
-    b = dealt.select(*keys, F.col("image_id").alias("_b"), F.explode(F.sequence(F.lit(0), "_at")).alias("_p"), F.col("_at").alias("_q"))
+    own = lambda name: [] if carry is None else [F.col(carry).alias(name)]
+    a = dealt.select(*keys, F.col("image_id").alias("_a"), F.col("_at").alias("_p"), *own("c_1"), F.explode(F.sequence("_at", F.col("_n") - 1)).alias("_q"))
+    b = dealt.select(*keys, F.col("image_id").alias("_b"), *own("c_2"), F.explode(F.sequence(F.lit(0), "_at")).alias("_p"), F.col("_at").alias("_q"))
     pairs = a.join(b, [*keys, "_p", "_q"]).filter("_p < _q OR _a < _b")
-    return pairs.select(*keys, F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"))
+    return pairs.select(*keys, F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"), *([] if carry is None else ["c_1", "c_2"]))
+
+
+def views_in_common(rays: DataFrame, block: int = 1024) -> DataFrame:
+    """point3D_id, id_a, id_b and the angle (degrees) between the two rays, for all pairs of images of each point.
+
+    ``rays`` has image_id, point3D_id and ray (from the point to the camera); one row an image and point.
+    """
+    pairs = _pairs_within(rays.select("image_id", "point3D_id", "ray"), ["point3D_id"], block, "ray")
+    return pairs.select("point3D_id", "id_a", "id_b", G.direction_angle(F.col("c_1"), F.col("c_2")).alias("angle"))
 
 
 def exhaustive_pairs(images: DataFrame, keys: list[str], block: int = 1024) -> DataFrame:

@@ -73,7 +73,7 @@ def test_adjustment_finds_the_true_scene(scene):
     assert solver.filtered(reproj.withColumn("x", F.when(F.col("point3D_id") == 3, F.col("x") + 50).otherwise(F.col("x"))), got, 4.0).filter("point3D_id = 3").count() == 0
 
 
-def test_global_and_local_refinement(scene):
+def test_global_refinement(scene):
     reproj, state, depth, _ = scene
     wrong = reproj.withColumn("x", F.when((F.col("point3D_id") == 2) & (F.col("frame_id") == 3), F.col("x") + 300).otherwise(F.col("x")))
     o = solver.Options(rounds=1, inner_rounds=3, loss="cauchy")
@@ -81,8 +81,6 @@ def test_global_and_local_refinement(scene):
     assert changes[0] > 0 and kept.filter("point3D_id = 2 AND frame_id = 3").count() == 0
     centres = np.array([-np.array(r.rotation).reshape(3, 3).T @ r.translation for r in got.frames.collect()])
     assert np.allclose(np.median(centres, axis=0), 0, atol=1e-6) and np.linalg.norm(centres.max(0) - centres.min(0)) == pytest.approx(10)
-    _, kept, changes = solver.refine_locally(wrong, state, o, depth, refinements=1)
-    assert len(changes) == 1 and kept.count() < wrong.count()
 
 
 def test_normalising_keeps_what_cameras_see(scene):
