@@ -33,4 +33,6 @@ def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFr
     part, first = at + "_range", at + "_first"
     offsets = spark.createDataFrame(rows, f"{part} long, {first} long")  # one row a range
     number = F.col(first) + F.col(at).bitwiseAND((1 << PLACE_BITS) - 1) + 1
-    return placed.withColumn(part, F.shiftright(at, PLACE_BITS)).join(F.broadcast(offsets), part).withColumn(name, number).drop(at, part, first)
+    found = placed.withColumn(part, F.shiftright(at, PLACE_BITS)).join(F.broadcast(offsets), part).withColumn(name, number).drop(at, part, first)
+    found._staged_at = placed._staged_at
+    return found
