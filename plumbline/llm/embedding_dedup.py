@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.cells import FAN, cell_tree, children, dot, finite, tree_nodes
 from plumbline.llm.common import by_rows, discard, stage
 from plumbline.llm.components import connected_components
+from plumbline.operators.ranks import numbered
 
 THRESHOLD = 0.93
 BLOCK = 4096
@@ -152,9 +153,10 @@ def _near_cells(nodes: DataFrame, levels: int, threshold: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding, label)."""
     usable = F.col("label").isNotNull() & finite() & F.exists("embedding", lambda x: x != 0)
-    usable_rows = vectors.filter(usable).select("vec_id", F.xxhash64("label", "embedding").alias("cls"), "label", "embedding")
-    classes = usable_rows.groupBy("cls").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("embedding").cast("array<double>").alias("v"))
-    classes = stage(classes.select(F.col("cls").alias("id"), "n", "least", F.xxhash64("label", F.size("v")).alias("grp"), F.size("v").alias("dim"), "v"), "vector-classes")
+    same = ["h1", "h2"]  # equal vectors of one label, by 128 bits
+    usable_rows = vectors.filter(usable).select("vec_id", F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit(1), "label", "embedding").alias("h2"), "label", "embedding")
+    classes = usable_rows.groupBy(*same).agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("embedding").cast("array<double>").alias("v"))
+    classes = numbered(classes.select(*same, "n", "least", F.xxhash64("label", F.size("v")).alias("grp"), F.size("v").alias("dim"), "v"), [F.col("h1").asc(), F.col("h2").asc()], "id")
     placed, centres, levels = cell_tree(coded(classes), block, angular=True, fan=fan)
     nodes = stage(tree_nodes(placed, centres), "cell-nodes")
     pairs = _near_cells(nodes, levels, threshold)
@@ -176,15 +178,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     compared = stage(compared, "vector-links")
 
     labels = connected_components(compared.filter("cls <> root").select(F.col("cls").alias("u"), F.col("root").alias("v")))
-    own = classes.select(F.col("id").alias("cls"), "n", "least")
+    own = classes.select(*same, F.col("id").alias("cls"), "n", "least")
     least = labels.join(own.select(F.col("cls").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     component = labels.join(least, "component").select(F.col("node").alias("cls"), "component_id")
     links = compared.groupBy("cls").agg(F.sum("n_links").alias("others"))
     found = own.join(links, "cls", "left").join(component, "cls", "left")
-    found = found.select("cls", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    found = found.select(*same, (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     found = stage(found, "class-links")  # written, so that the rows of a vector that very many share can be split over tasks
-    discard(placed, nodes, tasks, compared, classes)
-    out = usable_rows.select("vec_id", "cls").join(found, "cls").select("vec_id", "n_links", "component_id")
+    discard(placed, nodes, tasks, compared, classes, labels)
+    out = usable_rows.select("vec_id", *same).join(found, same).select("vec_id", "n_links", "component_id")
     others = vectors.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
     # rows without an id have no component; a class of such rows alone has none to give
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))

@@ -5,10 +5,11 @@ per set; bands of ``BAND_ROWS`` of them give candidate buckets.  Of each minimum
 packed into longs; the share of equal fields, counted by bits and corrected for chance collisions, estimates the
 similarity, and only candidates whose estimate is within reach of the threshold are confirmed, on full sets.
 
-Documents with equal sets form one class; its smallest doc_id stands for it.  Within a bucket not all pairs are made:
-each class is paired with a few hubs of its bucket, confirmed links give components, and only pairs that lie in
-different components are looked at again, block against block: first signatures alone, which leaves the members that have
-one within reach of the threshold in another component, then the full sets of those members and no others.
+Documents with equal sets (by number of shingles and a 128-bit fingerprint) form one class; its smallest doc_id stands for
+it.  Within a bucket not all pairs are made: each class is paired with the hub of its bucket, confirmed links give
+components, and only pairs that lie in different components are looked at again, block against block: first signatures
+alone, which leaves the members that have one within reach of the threshold in another component, then the full sets of
+those members and no others, in parts of a bounded number of shingles.
 
 Defined results: a null, empty or blank text has the empty set and links with nothing; a text of fewer than five
 words has its whole sequence as its one shingle; repeated rows are one class; rows with a null doc_id link with
@@ -20,12 +21,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from plumbline.llm.common import by_rows, discard, small_batches, stage, texts_of
 from plumbline.llm.components import connected_components
+from plumbline.operators.ranks import numbered
 
 WORDS = 5
 THRESHOLD = (75, 100)
@@ -86,8 +88,12 @@ def signature(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_or.reduce(fields, axis=1).view(np.int64), key.view(np.int64)
 
 
+#: what tells sets apart: the number of shingles and two 64-bit sums over them
+SET = ["n_shingles", "f1", "f2"]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls (hash of a 128-bit fingerprint of the set), sig and bands (arrays of long)."""
+    """doc_id, n_shingles, f1 and f2 (a 128-bit fingerprint of the set), sig and bands (arrays of long)."""
 
     def run(cols):
         out = {"n_shingles": [], "f1": [], "f2": [], "sig": [], "bands": []}
@@ -100,29 +106,25 @@ def signatures(docs: DataFrame) -> DataFrame:
         kinds = {"n_shingles": pa.int64(), "f1": pa.int64(), "f2": pa.int64(), "sig": longs, "bands": longs}
         return {"doc_id": cols["doc_id"]} | {k: pa.array(v, kinds[k]) for k, v in out.items()}
 
-    got = by_rows(docs, ["doc_id", "text"], run, "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>, bands array<long>")
-    return got.select("doc_id", "n_shingles", class_of("n_shingles", "f1", "f2").alias("cls"), "sig", "bands")
+    return by_rows(docs, ["doc_id", "text"], run, "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>, bands array<long>")
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(s).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(1))).view(np.int64))
 
 
-def class_of(*columns: str) -> Column:
-    return F.xxhash64(*columns)
-
-
 def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """cls and shingles (array of long) of the classes in ``members`` (cls, doc_id of one of its documents)."""
+    """cls and shingles (array of long) of the classes in ``members`` (cls, doc_id of one of its documents, and ``SET``)."""
 
     def run(cols):
         sets = [shingles(t) for t in texts_of(cols["text"])]
-        prints = [fingerprint(s) for s in sets]
-        out = {"n": [len(s) for s in sets], "f1": [p[0] for p in prints], "f2": [p[1] for p in prints]}
-        return {"cls": cols["cls"]} | {k: pa.array(v, pa.int64()) for k, v in out.items()} | {"shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
+        of = [(len(s), *fingerprint(s)) for s in sets]
+        same = np.array([a == b for a, b in zip(of, zip(*(cols[c].to_pylist() for c in SET), strict=True), strict=True)], bool)
+        shingled = pa.array([s.view(np.int64) if ok else [] for s, ok in zip(sets, same, strict=True)], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_pydict({"cls": cols["cls"], "shingles": shingled}).filter(pa.array(same))
 
-    got = by_rows(docs.select("doc_id", "text").join(members, "doc_id"), ["cls", "text"], run, "cls long, n long, f1 long, f2 long, shingles array<long>")
-    return got.filter(F.col("cls") == class_of("n", "f1", "f2")).select("cls", "shingles").dropDuplicates(["cls"])
+    got = by_rows(docs.select("doc_id", "text").join(members, "doc_id"), ["cls", "text", *SET], run, "cls long, shingles array<long>")
+    return got.dropDuplicates(["cls"])
 
 
 def estimate(a: str, b: str) -> Column:
@@ -210,6 +212,10 @@ def _by_whole_groups(fn):
     return lambda batches: (b for t in run(batches) for b in t.to_batches())
 
 
+#: shingles of full sets that a task holds of each side of a comparison (or one set, if larger)
+SHINGLES = 1 << 22
+
+
 def _with_partners(table: pa.Table) -> pa.Table:
     """The members that have one of another component within reach."""
     held = np.zeros(table.num_rows, bool)
@@ -234,18 +240,61 @@ def _confirmed(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, block_rows: int = 1024) -> DataFrame:
+def block_pairs(member: DataFrame, block_rows: int) -> DataFrame:
+    """Members of buckets (key, cls, comp), once for each pair of blocks (one <= two) of the bucket that they take part in.
+
+    A component with at least ``block_rows`` members of a bucket has blocks of its own, which are never compared with one
+    another; the others share blocks.  So a bucket that one component fills but for a few members costs its members
+    little more than one row each.
+    """
+    sizes = member.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("key").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1)  # at most n / block_rows rows a key
+    large = sizes.filter(F.col("n") >= block_rows).withColumn("k", F.ceil(F.col("n") / block_rows)).withColumn("low", F.coalesce(F.sum("k").over(before), F.lit(0)))
+    large = large.select("key", "comp", F.col("k").cast("long").alias("k"), F.col("low").cast("long").alias("low"))
+    small = F.sum(F.when(F.col("n") < block_rows, F.col("n")).otherwise(0))
+    pure = F.sum(F.when(F.col("n") >= block_rows, F.ceil(F.col("n") / block_rows)).otherwise(0))
+    mixed = sizes.groupBy("key").agg(pure.cast("long").alias("pure"), F.ceil(small / block_rows).cast("long").alias("shared"), F.count("*").alias("comps")).filter("comps > 1")
+    dealt = member.join(mixed, "key").join(large, ["key", "comp"], "left")
+    at = lambda n: F.pmod(F.xxhash64("cls"), F.greatest(n, F.lit(1)))
+    dealt = dealt.withColumn("block", F.when(F.col("k").isNull(), F.col("pure") + at(F.col("shared"))).otherwise(F.col("low") + at(F.col("k"))))
+    every = F.sequence(F.lit(0).cast("long"), F.col("pure") + F.col("shared") - 1)
+    own = lambda b: F.col("k").isNotNull() & (b >= F.col("low")) & (b < F.col("low") + F.col("k"))
+    paired = dealt.select("key", "cls", "comp", "block", F.explode(F.filter(every, lambda b: ~own(b))).alias("other"))
+    return paired.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "cls", "comp", "block")
+
+
+def by_bytes(near: DataFrame, shingles: int) -> DataFrame:
+    """Members of pairs of blocks, blocks split so that the sets of each part together have at most ``shingles`` (or are one).
+
+    A part is named by its block and number, and a member comes once for each part of the other side.
+    """
+    pair = ["key", "one", "two"]
+    so_far = F.sum("n_shingles").over(Window.partitionBy(*pair, "block").orderBy("cls").rowsBetween(Window.unboundedPreceding, -1))
+    cut = near.withColumn("part", F.floor(F.coalesce(so_far, F.lit(0)) / shingles).cast("long"))
+    parts = cut.groupBy(*pair, "block").agg(F.max("part").alias("_last"))
+    facing = F.when(F.col("block") == F.col("one"), F.col("two")).otherwise(F.col("one"))
+    cut = cut.withColumn("_facing", facing).join(parts.withColumnRenamed("block", "_facing"), [*pair, "_facing"])
+    name = lambda block, part: F.shiftleft(F.col(block), 24).bitwiseOR(F.col(part))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_part"))
+    cut = cut.withColumn("_mine", name("block", "part")).withColumn("_theirs", name("_facing", "_part"))
+    new = {"one": F.least("_mine", "_theirs"), "two": F.greatest("_mine", "_theirs"), "block": F.col("_mine")}
+    return cut.select(*(new.get(c, F.col(c)).alias(c) for c in Members.NAMES))
+
+
+def near_duplicates(docs: DataFrame, block_rows: int = 1024, shingles: int = SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     spark = docs.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = stage(signatures(docs), "signatures")
-    classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    classes = stage(classes.join(signed.filter("n_shingles > 0"), ["cls", "doc_id"]).dropDuplicates(["cls"]), "classes")
+    usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    told = numbered(usable.groupBy(*SET).agg(F.min("doc_id").alias("doc_id")), [F.col(c).asc() for c in ("f1", "f2", "n_shingles")], "cls")
+    classes = stage(told.join(usable, [*SET, "doc_id"]).dropDuplicates(["cls"]), "classes")
+    discard(told)
 
     keyed = classes.select("cls", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     buckets = stage(keyed.join(hubs, "key"), "buckets")
-    sets = stage(full_sets(docs, buckets.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls")), "sets")
+    sets = stage(full_sets(docs, buckets.select("cls").distinct().join(classes.select("cls", "doc_id", *SET), "cls")), "sets")
 
     pairs = buckets.filter("cls <> hub").select("cls", "hub").distinct()
     sigs = classes.select("cls", "sig", "n_shingles")
@@ -256,34 +305,29 @@ def near_duplicates(docs: DataFrame, block_rows: int = 1024) -> DataFrame:
     for side, name in (("a", "cls"), ("b", "hub")):
         pairs = pairs.join(sets.select(F.col("cls").alias(name), F.col("shingles").alias(side)), name)
     star = pairs.filter(linked(F.size(F.array_intersect("a", "b")), F.col("n_a"), F.col("n_b"))).select(F.col("cls").alias("u"), F.col("hub").alias("v"))
-    first = stage(connected_components(star), "first-components")
+    first = connected_components(star)
 
     member = buckets.join(first.select(F.col("node").alias("cls"), "component"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
-    mixed = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    blocks = F.ceil(F.col("n") / block_rows).cast("int")
-    member = member.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    member = member.join(classes.select("cls", "sig", "bands", "n_shingles"), "cls")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    member = member.select("*", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    member = stage(member, "bucket-members")
+    paired = block_pairs(member, block_rows).join(classes.select("cls", "sig", "bands", "n_shingles"), "cls").select(*Members.NAMES)
     pair = ["key", "one", "two"]
-    member = member.select(*Members.NAMES)
     small_batches(spark)
-    near = stage(member.repartition(spread * 2, *pair).sortWithinPartitions(*pair).mapInArrow(_by_whole_groups(_with_partners), member.schema), "near-members")
-    cross = near.join(sets, "cls").repartition(spread, *pair).sortWithinPartitions(*pair).mapInArrow(_by_whole_groups(_confirmed), "u long, v long")
+    near = stage(paired.repartition(spread * 2, *pair).sortWithinPartitions(*pair).mapInArrow(_by_whole_groups(_with_partners), paired.schema), "near-members")
+    cross = by_bytes(near, shingles).join(sets, "cls").repartition(spread, *pair).sortWithinPartitions(*pair).mapInArrow(_by_whole_groups(_confirmed), "u long, v long")
     label = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"{side}_comp"))
     cross = cross.join(label("u"), "u", "left").join(label("v"), "v", "left").select(F.coalesce("u_comp", "u").alias("u"), F.coalesce("v_comp", "v").alias("v"))
     second = connected_components(cross)
-    discard(sets, near)
+    discard(sets, near, member)
 
     labels = first.unionByName(second.select("node", F.col("node").alias("component")).join(first.select("node"), "node", "left_anti"))
     labels = labels.join(second.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select(F.col("node").alias("cls"), F.coalesce("top", "component").alias("comp"))
     least = labels.join(classes.select("cls", "doc_id"), "cls").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_class = classes.select("cls", F.col("doc_id").alias("own")).join(labels.join(least, "comp"), "cls", "left").select("cls", F.coalesce("component_id", "own").alias("component_id"))
+    of_class = classes.select("cls", *SET, F.col("doc_id").alias("own")).join(labels.join(least, "comp"), "cls", "left").select(*SET, F.coalesce("component_id", "own").alias("component_id"))
     of_class = stage(of_class, "class-components")  # written, so that the rows of a class that very many share can be split over tasks
-    discard(classes, buckets, first)
+    discard(classes, buckets, first, second)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    found = signed.join(of_class, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    found = signed.select("doc_id", *SET).join(of_class, SET, "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -1,19 +1,19 @@
 """Operator 6: best-fit packing of token sequences with Martello-Toth dominance reduction.
 
 Method.  The plan needs only the number of pieces of each length, at most ``capacity`` rows however large the corpus
-is; that histogram, by salt, alone reaches the driver.  There the reduction fixes sets of pieces that provably dominate
+is; that histogram alone reaches the driver.  There the reduction fixes sets of pieces that provably dominate
 whatever else a sequence with the same longest piece could hold, and shrinks the instance; what is left goes best-fit
 in decreasing order.  Equal lengths are handled as one class with a count.  The plan is a list of patterns (lengths in a
 sequence, times the pattern is used), bounded whatever the size of the corpus: each pattern is made by using up a class or
 an open pattern, so there are at most five for each of ``capacity`` lengths.
 
-The pieces then find their places on Spark: each piece gets a rank within its length (by salted counting: per length
-and salt, so that a length which a third of all pieces share is no single group), and ranks of a length are dealt to
-patterns in consecutive ranges.  Offsets follow from the pattern.  No piece moves through the driver.
+The pieces then find their places on Spark: each piece gets a rank within its length (its number in the order of all
+pieces by length, from ranges and the counts of ranges, so that a length which a third of all pieces share is no single
+group), and ranks of a length are dealt to patterns in consecutive ranges.  Offsets follow from the pattern.  No piece moves through the driver.
 
 Defined results: a null text is an empty document and has the end id alone; repeated rows, also repeated doc_ids, are
 packed each on its own; an empty table gives an empty result; extra columns are ignored.  Ties between equal lengths
-are broken by salt, doc_id, crc and piece, so lengths per sequence are deterministic.
+are broken by doc_id, piece, crc and row, so lengths per sequence are deterministic.
 """
 
 from __future__ import annotations
@@ -29,10 +29,11 @@ from operator import not_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import PROBES, Memo, by_rows, stage, texts_of
+from plumbline.llm.common import PROBES, Memo, by_rows, discard, stage, texts_of
+from plumbline.operators.ranks import numbered
 
 END_ID = 1
 SIGNS = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
@@ -257,31 +258,27 @@ def place(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, in
     return ranges
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, salts: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, row, piece, start, length, ids_crc32)."""
     spark = pieces.sparkSession
-    pieces = stage(pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)).cast("int")), "pieces")
-    # at most capacity x salts rows, whatever the size of the corpus
-    tally = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()
-    counts: dict[int, int] = {}
-    before: dict[int, np.ndarray] = {}
-    for r in sorted(tally, key=lambda r: (r.length, r.salt)):
-        before.setdefault(r.length, np.zeros(salts, np.int64))[r.salt] = counts.get(r.length, 0)
-        counts[r.length] = counts.get(r.length, 0) + r.n
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row")
-    ranked = pieces.withColumn("rank", F.row_number().over(order))
-    # capacity x salts counts and the bounded plan, as arrays
+    pieces = stage(pieces, "pieces")
+    # a row a length, whatever the size of the corpus
+    counts = {r["length"]: r["n"] for r in sorted(pieces.groupBy("length").agg(F.count("*").alias("n")).collect())}
+    before = {x: sum(n for y, n in counts.items() if y < x) for x in counts}
+    ranked = numbered(pieces, [F.col(c).asc() for c in ("length", "doc_id", "piece", "ids_crc32", "row")], "rank")
+    discard(pieces)
+    # the counts and the bounded plan, as arrays
     first = {x: [np.array(c, np.int64) for c in zip(*v, strict=True)] for x, v in place(counts, capacity).items()}
     shared = spark.sparkContext.broadcast((before, first))
-    names = ["doc_id", "row", "piece", "start", "length", "ids_crc32", "salt", "rank"]
+    names = ["doc_id", "row", "piece", "start", "length", "ids_crc32", "rank"]
 
     def run(cols):
         before, table = shared.value
-        length, salt, rank = (cols[c].to_numpy() for c in ("length", "salt", "rank"))
+        length, rank = (cols[c].to_numpy() for c in ("length", "rank"))
         sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
         for x in np.unique(length):
             rows = np.flatnonzero(length == x)
-            here = rank[rows] - 1 + before[x][salt[rows]]
+            here = rank[rows] - 1 - before[x]
             first, seq, off = table[x]
             at = np.searchsorted(first, here, "right") - 1
             sequence[rows], offset[rows] = seq[at] + here - first[at], off[at]

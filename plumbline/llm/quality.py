@@ -11,7 +11,8 @@ labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: a null text scores as an empty one and a null n_chars as the length of the text; repeated rows get
 equal scores; an empty table gives an empty one; where no labelled row exists the score is 0.5 and nothing is
-predicted good; extra columns are ignored.
+predicted good; of several
+rows of one labelled doc_id one text is learnt from; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -193,6 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, modulus:
         }
 
     rows = with_n_chars(docs).join(F.broadcast(sample), "doc_id")
+    # one text an id, however many rows share it
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("y", "text", "n_chars"), F.xxhash64("text", "n_chars")).alias("r")).select("r.*")
     got = by_rows(rows, ["y", "text", "n_chars"], features, "y int, stats array<float>, index array<int>, value array<float>").toArrow()
     if not got.num_rows:
         return Machine()

@@ -16,7 +16,8 @@ structure allow no pruning by any such bound, and all pairs of them are scored.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a
 null vec_id; vectors of other lengths are no candidates; rows that repeat a vec_id are one candidate each, and a
-query's own id is never its candidate; a query with fewer than k candidates returns all; an empty table gives an empty
+query's own id is never its candidate; of several vectors of one vec_id that asks, the smallest (component by component)
+asks; a query with fewer than k candidates returns all; an empty table gives an empty
 one; extra columns are ignored.
 """
 
@@ -254,7 +255,9 @@ def _search(vectors: DataFrame, k: int, scale: float, every: int, block: int, fa
     inside = inside.join(nodes.filter("leaf").select(F.col("node").alias("cell"), blocks("n").alias("blocks")), "cell")
     data = stage(inside.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")).drop("blocks"), "vector-blocks")
     discard(placed)
-    queries = data.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"])
+    asking = data.filter(F.col("id") % every == 0)
+    rest = [c for c in data.columns if c not in ("id", "v")]
+    queries = asking.groupBy("id").agg(F.min(F.struct("v", *rest)).alias("r")).select("id", "r.*")
     points = data.select("id", "v", "cell", "block")
     first = stage(_rounds(points, queries.withColumn("kth", F.lit(None).cast("long")), k, spread), "home-search")
     kth = _ranked(first, k).groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"))

@@ -13,7 +13,8 @@ driver.  A sixth of the sample is kept from fitting and sets where 0.7 lies betw
 
 Every document is scored from its whole text.  labels, lang, source and doc_id are no inputs of a score.  Defined
 results: a null, empty or blank text has one empty window; repeated rows get equal scores; an empty table gives an
-empty one; where no labelled rows of both classes exist the score is 0.5 and nothing is predicted toxic; extra columns
+empty one; where no labelled rows of both classes exist the score is 0.5 and nothing is predicted toxic; of several
+rows of one labelled doc_id one text is learnt from; extra columns
 are ignored.
 """
 
@@ -331,7 +332,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, train_rows: int, modulus
     usable = usable.select("doc_id", F.col("toxic").cast("int").alias("y")).dropDuplicates(["doc_id"])
     one = lambda y: usable.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id")).limit(train_rows)
     sample = one(1).unionByName(one(0)).withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(6)) == 0)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y", "apart")
+    held = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # one text an id, however many rows share it
+    return held.groupBy("doc_id").agg(F.min_by(F.struct("text", "y", "apart"), F.xxhash64("text")).alias("r")).select("r.text", "r.y", "r.apart")
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, modulus: int = 3, remainder: int = 1, threshold: float = 0.7) -> Network | None:
@@ -375,7 +378,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, modulus: i
 
     rows = by_rows(sample.filter("NOT apart"), ["text", "y"], suspicious, "y int, words array<binary>").toArrow()
     y = np.array(rows.column("y").to_pylist(), np.float32)
-    windows = [[w[:64] for w in x] for x in rows.column("words").to_pylist()]
+    windows = rows.column("words").to_pylist()
     network = fit(windows, y, network)
 
     shared = sample.sparkSession.sparkContext.broadcast(network)

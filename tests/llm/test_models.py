@@ -245,3 +245,23 @@ def test_queries_and_entry(spark):
     names = set(entry.queries())
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names}
     assert json.dumps(sorted(entry.oracle_sql())) and os.path.isdir(SF)
+
+
+@pytest.mark.parametrize(("module", "label"), [("quality", "quality"), ("toxicity", "toxic")])
+def test_a_labelled_id_is_learnt_once(spark, monkeypatch, module, label):
+    """An id that very many rows share brings one text to the driver."""
+    import importlib
+
+    m = importlib.import_module(f"plumbline.llm.{module}")
+    ids = [d for d in range(200) if not (zlib.crc32(str(d).encode()) % 4 == 2 or zlib.crc32(str(d).encode()) % 3 == 1)]
+    rows = [(d, f"text {d} " * 30, "en", "s", 10) for d in ids] + [(ids[0], f"copy {i} of it", "en", "s", 5) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(d, i % 2, i % 2) for i, d in enumerate(ids)], "doc_id long, quality int, toxic int")
+    fitted = []
+    if module == "toxicity":
+        assert m.training_sample(docs, labels, 3000, 3, 1).count() == len(ids)
+    else:
+        real = m.fit
+        monkeypatch.setattr(m, "fit", lambda stats, words, y: fitted.append(len(y)) or real(stats, words, y))
+        m.train(docs, labels)
+        assert 0 < fitted[0] <= len(ids)

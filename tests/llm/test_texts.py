@@ -79,11 +79,52 @@ def test_links_near_the_threshold_and_in_chains(spark):
             for j in range(1 + family % 4):
                 words[(step * 17 + j * 5) % 120] = f"n{family}s{step}j{j}"
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block_rows in (2, 256):
-        got = near_duplicates(df, block_rows).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    for block_rows, shingles in ((2, 60), (256, 1 << 22)):
+        got = near_duplicates(df, block_rows, shingles).select("doc_id", "n_shingles", "component_id", "kept").collect()
         assert as_sorted(got) == brute_near(rows)
 
 
+def test_blocks_and_parts_meet_once_and_stay_bounded(spark):
+    """One component fills a bucket: its blocks never meet one another, and no part holds more shingles than asked."""
+    from pyspark.sql import functions as F
+
+    from plumbline.llm.minhash import Members, block_pairs, by_bytes
+
+    rows = [(1, i, 0 if i < 400 else i) for i in range(420)] + [(2, i, i) for i in range(30)] + [(3, i, 7) for i in range(50)]
+    member = spark.createDataFrame(rows, "key long, cls long, comp long")
+    paired = block_pairs(member, 40)
+    held = paired.collect()
+    assert {r.key for r in held} == {1, 2}  # all of bucket 3 is one component
+    met = {}
+    for r in held:
+        met.setdefault((r.key, r.one, r.two), []).append(r)
+    found = {}
+    for (key, one, two), group in met.items():
+        for a in group:
+            for b in group:
+                if a.block == one and b.block == two and a.comp != b.comp and (one != two or a.cls < b.cls):
+                    pair = (key, *sorted((a.cls, b.cls)))
+                    found[pair] = found.get(pair, 0) + 1
+    comp = {(k, c): m for k, c, m in rows}
+    expected = {(k, a, b) for k, n in ((1, 420), (2, 30)) for a in range(n) for b in range(a + 1, n) if comp[k, a] != comp[k, b]}
+    assert set(found) == expected and set(found.values()) == {1}
+    assert sum(r.key == 1 for r in held) < 3 * 420 + 20 * 12  # the large component's members: one row each and a block of others
+
+    sized = paired.withColumn("n_shingles", 10 + F.col("cls") % 7 * 30).withColumn("sig", F.array(F.col("cls"))).withColumn("bands", F.array("key"))
+    parts = by_bytes(sized.select(*Members.NAMES), 500).collect()
+    held, again = {}, {}
+    for r in parts:
+        held.setdefault((r.key, r.one, r.two, r.block), []).append(r)
+    assert max(sum(r.n_shingles for r in g) for g in held.values()) <= 500 + 190
+    for (key, one, two, block), g in held.items():
+        for a in g if block == one else []:
+            for b in held.get((key, one, two, two), []):
+                if a.comp != b.comp and (one != two or a.cls < b.cls):
+                    pair = (key, *sorted((a.cls, b.cls)))
+                    again[pair] = again.get(pair, 0) + 1
+    assert set(again) == expected and set(again.values()) == {1}
+
+
 def test_bit_signatures_estimate_the_similarity():
     import numpy as np
 

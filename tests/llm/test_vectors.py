@@ -178,3 +178,11 @@ def test_the_table_of_the_driver(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = QUERIES["op1_embedding_near_dedup"](spark, sf).select("vec_id", "n_links", "component_id", "kept").collect()
     assert sorted(map(tuple, got), key=repr) == brute_links(rows)
+
+
+def test_of_repeated_askers_the_smallest_vector_asks(spark):
+    from plumbline.llm.top_k import top_k
+
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [2.0, 3.0]), (2, [0.5, 9.0]), (3, [4.0, -1.0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2, scale=256.0, every=50).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(50, 1, 2, 256 * 256 * 9), (50, 2, 1, 256 * 256 * 3)]
