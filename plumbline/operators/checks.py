@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import ranks
+
 WEIGHT_SLACK = 1e-3
 
 
@@ -97,22 +99,25 @@ def bundle_problems(bundles: DataFrame, expected_hw: tuple[int, int] | None = No
 
 
 def audit(keypoints: DataFrame, rows: DataFrame, meta: DataFrame) -> DataFrame:
-    """All problems of a stored sensor in one table: kind, image_id, n."""
-    expected = rows.join(meta.select("sensor", "num_modes"), "sensor").filter(F.size("modes") != F.col("num_modes"))
+    """All problems of stored sensors in one table: kind, image_id, n; rows of a sensor without a meta row are ``no_meta``."""
+    known = rows.join(meta.select("sensor", "num_modes"), "sensor", "left")
+    unknown = known.filter(F.col("num_modes").isNull()).groupBy("image_id").agg(F.count("*").alias("n")).select(F.lit("no_meta").alias("kind"), "image_id", "n")
+    expected = known.filter(F.size("modes") != F.col("num_modes"))
     kinds = expected.groupBy("image_id").agg(F.count("*").alias("n")).select(F.lit("num_modes").alias("kind"), "image_id", "n")
     gaps = incomplete_images(keypoints, rows).select(F.lit("row_count").alias("kind"), "image_id", (F.col("n_keypoints") - F.col("n_rows")).alias("n"))
     values = broken_measurements(rows).groupBy("rule", "image_id").agg(F.count("*").alias("n")).select(F.col("rule").alias("kind"), "image_id", "n")
-    return kinds.unionByName(gaps).unionByName(values)
+    return kinds.unionByName(unknown).unionByName(gaps).unionByName(values)
 
 
 def audit_statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Informational figures of each sensor (or whatever ``keys`` are): rows, images, depth range, and the share of rows with two distinct modes."""
     log_ratio = F.abs(F.ln(F.get("modes", 1).cast("double") / F.get("modes", 0).cast("double")))
-    return rows.filter(not_sky(F.col("is_sky"))).groupBy(*keys).agg(
+    seen = rows.filter(not_sky(F.col("is_sky")))
+    figures = seen.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.countDistinct("image_id").alias("n_images"),
         F.min("estimated_depth").alias("min_depth"),
-        F.median("estimated_depth").alias("median_depth"),
         F.max("estimated_depth").alias("max_depth"),
         F.avg((log_ratio > 1e-6).cast("double")).alias("bimodal_rate"),
     )
+    return ranks.beside(figures, ranks.quantiles(seen, keys, {"median_depth": ("estimated_depth", 0.5)}), keys)

@@ -9,50 +9,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
-
-
-def error_columns(error: str, prefix: str = "") -> list[Column]:
-    """Mean, median, 90th percentile (linear interpolation, exact) and maximum."""
-    e = F.col(error)
-    return [F.avg(e).alias(f"{prefix}mean"), F.median(e).alias(f"{prefix}median"), F.percentile(e, 0.9).alias(f"{prefix}p90"), F.max(e).alias(f"{prefix}max")]
+from plumbline.operators import ranks
+from plumbline.staging import discard, staged
 
 
 def bad_percent(error: str, tail: float) -> Column:
     return (100 * F.avg((F.col(error) > tail).cast("double"))).alias("bad_pct")
 
 
+def error_figures(errors: DataFrame, keys: list[str], prefixes: dict[str, str], others: list[Column] = [], more: dict[str, tuple[str, float]] | None = None) -> DataFrame:  # noqa: B006
+    """keys, n, mean, median, 90th percentile (linear interpolation, exact) and maximum of each error, ``others`` and ``more`` quantiles."""
+    sums = [f(F.col(e)).alias(f"{p}{n}") for e, p in prefixes.items() for n, f in (("mean", F.avg), ("max", F.max))]
+    middle = {f"{p}{n}": (e, q) for e, p in prefixes.items() for n, q in (("median", 0.5), ("p90", 0.9))}
+    base = errors.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *others)
+    return ranks.beside(base, ranks.quantiles(errors, keys, middle | (more or {})), keys)
+
+
 def error_summary(errors: DataFrame, keys: list[str], error: str, tail: float | None = None) -> DataFrame:
-    tails = [] if tail is None else [bad_percent(error, tail)]
-    return errors.groupBy(*keys).agg(F.count("*").alias("n"), *error_columns(error), *tails)
+    return error_figures(errors, keys, {error: ""}, [] if tail is None else [bad_percent(error, tail)])
 
 
 def pooled(cameras: DataFrame, sequences: DataFrame, tail: float) -> DataFrame:
     """Per arm: cameras of all sequences pooled (columns pos, rot), and medians over sequences of scale and dbase."""
-    by_camera = cameras.groupBy("arm").agg(F.count("*").alias("n"), *error_columns("pos", "pos_"), bad_percent("pos", tail), F.median("rot").alias("rot_median"), F.percentile("rot", 0.9).alias("rot_p90"))
-    by_sequence = sequences.groupBy("arm").agg(F.count("*").alias("n_seq"), F.median("scale").alias("scale"), F.median("dbase").alias("dbase"))
+    by_camera = error_figures(cameras, ["arm"], {"pos": "pos_"}, [bad_percent("pos", tail)], {"rot_median": ("rot", 0.5), "rot_p90": ("rot", 0.9)})
+    middle = ranks.quantiles(sequences, ["arm"], {"scale": ("scale", 0.5), "dbase": ("dbase", 0.5)})
+    by_sequence = ranks.beside(sequences.groupBy("arm").agg(F.count("*").alias("n_seq")), middle, ["arm"])
     return by_camera.join(by_sequence, "arm", "left")
 
 
 def pose_auc(errors: DataFrame, keys: list[str], error: str, thresholds: list[float]) -> DataFrame:
-    """Area under the recall curve up to each threshold, over the threshold: keys, threshold, auc."""
-    order = Window.partitionBy(*keys).orderBy(error)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    e, i = F.col(error), F.row_number().over(order)
-    curve = errors.select(*keys, e.alias("e"), F.lag(e, 1, 0.0).over(order).alias("e0"), (i / n).alias("r"), ((i - 1) / n).alias("r0"))
-    per = F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold")
-    curve = curve.select("*", per)
-    t, inside = F.col("threshold"), F.col("e") <= F.col("threshold")
-    area = F.sum(F.when(inside, (F.col("e") - F.col("e0")) * (F.col("r") + F.col("r0")) / 2).otherwise(0.0))
-    last_e = F.coalesce(F.max(F.when(inside, F.col("e"))), F.lit(0.0))
-    last_r = F.coalesce(F.max(F.when(inside, F.col("r"))), F.lit(0.0))
-    got = curve.groupBy(*keys, "threshold").agg(area.alias("area"), last_e.alias("last_e"), last_r.alias("last_r"))
-    return got.select(*keys, "threshold", ((F.col("area") + (t - F.col("last_e")) * F.col("last_r")) / t).alias("auc"))
+    """Area under the recall curve up to each threshold, over the threshold: keys, threshold, auc.
+
+    The curve goes from (0, 0) through (e_i, i / n) for the sorted errors e_i.  Summed by parts, the area under it up to the
+    largest error m of the k that are at most t is (m (2 k + 1) - 2 * their sum) / 2 n, so nothing need be sorted.
+    """
+    e = F.col(error)
+    cut = lambda f, t: f(F.when(e <= float(t), e))
+    sums = [x for i, t in enumerate(thresholds) for x in (F.count_if(e <= float(t)).alias(f"_k{i}"), F.coalesce(cut(F.max, t), F.lit(0.0)).alias(f"_m{i}"), F.coalesce(cut(F.sum, t), F.lit(0.0)).alias(f"_s{i}"))]
+    got = errors.groupBy(*keys).agg(F.count("*").alias("_n"), *sums)
+    at = lambda i, t: F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_k{i}").alias("k"), F.col(f"_m{i}").alias("m"), F.col(f"_s{i}").alias("s"))
+    got = got.select(*keys, "_n", F.explode(F.array(*(at(i, t) for i, t in enumerate(thresholds)))).alias("_t")).select(*keys, "_n", "_t.*")
+    area = (F.col("m") * (2 * F.col("k") + 1) - 2 * F.col("s")) / (2 * F.col("_n"))
+    return got.select(*keys, "threshold", ((area + (F.col("threshold") - F.col("m")) * F.col("k") / F.col("_n")) / F.col("threshold")).alias("auc"))
 
 
 def drift_profile(errors: DataFrame, keys: list[str], order: str, error: str, parts: int = 10) -> DataFrame:
-    """Median error of each tenth of a trajectory, in frame order."""
-    part = F.ntile(parts).over(Window.partitionBy(*keys).orderBy(order))
-    return errors.withColumn("part", part).groupBy(*keys, "part").agg(F.median(error).alias("median"))
+    """Median error of each tenth of a trajectory, in frame order; of uneven tenths the first are longer by one."""
+    ranked = ranks.ranked_within(errors.select(*keys, order, error), keys, [F.col(order).asc()], "_i")
+    i, each, longer = F.col("_i") - 1, F.floor(F.col("_i_of") / parts), F.col("_i_of") % parts
+    cut = longer * (each + 1)
+    part = F.when(i < cut, F.floor(i / (each + 1))).otherwise(longer + F.floor((i - cut) / F.greatest(each, F.lit(1)))) + 1
+    cells = ranked.withColumn("part", part.cast("int"))
+    found = ranks.quantiles(cells, [*keys, "part"], {"median": (error, 0.5)})
+    whole = ranks.beside(staged(cells.select(*keys, "part").distinct(), "parts"), found, [*keys, "part"])
+    discard(ranked)
+    return whole
 
 
 def worst_row(errors: DataFrame, keys: list[str], name: str, error: str) -> DataFrame:
@@ -124,8 +135,11 @@ def arm_means(values: DataFrame, arm: str, metrics: list[str]) -> DataFrame:
 def scene_table(deltas: DataFrame, scene: str, arm: str, arms: list[str]) -> DataFrame:
     """Mean delta per scene, one column an arm, with rows MEAN and MEDIAN over scenes."""
     table = deltas.groupBy(F.col(scene).cast("string").alias("scene")).pivot(arm, arms).agg(F.avg("delta"))
-    rows = [table.groupBy().agg(*(f(F.col(f"`{a}`")).alias(a) for a in arms)).select(F.lit(name).alias("scene"), *(F.col(f"`{a}`") for a in arms)) for name, f in (("MEAN", F.avg), ("MEDIAN", F.median))]
-    return table.unionByName(rows[0]).unionByName(rows[1])
+    table = staged(table, "scene-table")
+    mean = table.groupBy().agg(*(F.avg(F.col(f"`{a}`")).alias(a) for a in arms))
+    middle = ranks.quantiles(table, [], {a: (F.col(f"`{a}`"), 0.5) for a in arms})
+    foot = [df.select(F.lit(name).alias("scene"), *(F.col(f"`{a}`") for a in arms)) for name, df in (("MEAN", mean), ("MEDIAN", middle))]
+    return table.unionByName(foot[0]).unionByName(foot[1])
 
 
 def win_loss(deltas: DataFrame, arm: str, threshold: float) -> DataFrame:
@@ -135,26 +149,29 @@ def win_loss(deltas: DataFrame, arm: str, threshold: float) -> DataFrame:
         F.count_if(d.between(-threshold, threshold)).alias("neutral"),
         F.count_if(d < -threshold).alias("loss"),
         F.avg(d).alias("mean"),
-        F.median(d).alias("median"),
     )
+    got = ranks.beside(got, ranks.quantiles(deltas, [arm], {"median": ("delta", 0.5)}), [arm])
     return got.withColumn("ratio", F.try_divide(F.col("win").cast("double"), F.col("loss").cast("double")))
 
 
 def signed_ranks(diffs: DataFrame, keys: list[str], diff: str = "diff") -> DataFrame:
     """Per key: pairs, signs, median difference, W+ and W- over average ranks of non-zero differences, and the ties' term."""
-    size = F.abs(diff)
-    ranked = diffs.filter(F.col(diff) != 0).withColumn("_size", size)
-    ties = F.count("*").over(Window.partitionBy(*keys, "_size"))
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy("_size")) + (ties - 1) / 2
-    ranked = ranked.withColumn("_ties", ties).withColumn("_rank", rank)
-    w = ranked.groupBy(*keys).agg(
-        F.count("*").alias("n_nonzero"),
-        F.sum(F.when(F.col(diff) > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col(diff) < 0, F.col("_rank")).otherwise(0.0)).alias("w_minus"),
-        F.sum((F.col("_ties") * F.col("_ties") - 1).cast("double")).alias("tie_term"),
+    sized = diffs.filter(F.col(diff) != 0).select(*keys, F.abs(diff).alias("_size"), (F.col(diff) > 0).alias("_up"))
+    placed = ranks.ranked_within(sized, keys, [F.col("_size").asc()], "_at")
+    # rows of one size share the mean of their places
+    tied = placed.groupBy(*keys, "_size").agg(F.min("_at").alias("_low"), F.count("*").alias("_ties"), F.count_if("_up").alias("_ups"))
+    rank = F.col("_low") + (F.col("_ties") - 1) / 2
+    w = tied.groupBy(*keys).agg(
+        F.sum("_ties").alias("n_nonzero"),
+        F.sum(rank * F.col("_ups")).alias("w_plus"),
+        F.sum(rank * (F.col("_ties") - F.col("_ups"))).alias("w_minus"),
+        F.sum((F.col("_ties") * (F.col("_ties") * F.col("_ties") - 1)).cast("double")).alias("tie_term"),
     )
-    signs = diffs.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(diff) > 0).alias("better"), F.count_if(F.col(diff) < 0).alias("worse"), F.median(diff).alias("median_diff"))
-    return signs.join(w, keys, "left")
+    signs = diffs.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(diff) > 0).alias("better"), F.count_if(F.col(diff) < 0).alias("worse"))
+    signs = ranks.beside(signs, ranks.quantiles(diffs, keys, {"median_diff": (diff, 0.5)}), keys)
+    held = staged(w, "signed-ranks")
+    discard(placed)
+    return ranks.beside(signs, held, keys)
 
 
 EXACT = 50
@@ -174,7 +191,7 @@ def signed_rank_test(diffs: DataFrame, keys: list[str], diff: str = "diff") -> D
 
     It is exact for up to ``EXACT`` differences without ties or zeros, and that of the normal form otherwise.
     """
-    ranks = signed_ranks(diffs, keys, diff)
+    found = signed_ranks(diffs, keys, diff)
     n = F.col("n_nonzero").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48
     z = F.when(variance > 0, (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.sqrt(variance))
@@ -185,7 +202,7 @@ def signed_rank_test(diffs: DataFrame, keys: list[str], diff: str = "diff") -> D
         return pd.Series(held).where(z.notna().to_numpy())
 
     plain = (F.col("tie_term") == 0) & (F.col("n") == F.col("n_nonzero"))
-    return ranks.withColumn("z", z).withColumn("p", two_sided("z", "n_nonzero", F.least("w_plus", "w_minus"), F.coalesce(plain, F.lit(False))))
+    return found.withColumn("z", z).withColumn("p", two_sided("z", "n_nonzero", F.least("w_plus", "w_minus"), F.coalesce(plain, F.lit(False))))
 
 
 def extremes(deltas: DataFrame, order: list[str], n: int = 20) -> DataFrame:

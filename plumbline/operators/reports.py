@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
-from plumbline.operators import alignment
+from plumbline.operators import alignment, ranks
 from plumbline.operators import evaluation as E
 
 CENTRE = ("x", "y", "z")
@@ -40,9 +40,10 @@ def aligned_errors(estimated: DataFrame, truth: DataFrame, groups: list[str], na
 
 def truth_report(errors: DataFrame, groups: list[str], name: str) -> DataFrame:
     """groups, n, mean, median and maximum of position and rotation errors, and the camera of the worst position."""
-    figures = [f(F.col(c)).alias(f"{c}_{n}") for c in ("pos", "rot") for n, f in (("mean", F.avg), ("median", F.median), ("max", F.max))]
+    figures = [f(F.col(c)).alias(f"{c}_{n}") for c in ("pos", "rot") for n, f in (("mean", F.avg), ("max", F.max))]
     worst = F.min_by(name, F.struct(-F.round("pos", 6), F.col(name))).alias("worst")
-    return errors.groupBy(*groups).agg(F.count("*").alias("n"), *figures, worst)
+    told = errors.groupBy(*groups).agg(F.count("*").alias("n"), *figures, worst)
+    return ranks.beside(told, ranks.quantiles(errors, groups, {f"{c}_median": (c, 0.5) for c in ("pos", "rot")}), groups)
 
 
 def trajectory_report(poses: DataFrame, groups: list[str], order: str, thresholds: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
@@ -59,13 +60,13 @@ def baseline_distance(cameras: DataFrame, groups: list[str], arm: str, baseline:
     base = cameras.filter(F.col(arm) == baseline).select(*groups, name, *(F.col(c).alias(f"_{c}") for c in CENTRE))
     apart = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), F.lit(2.0)) for c in CENTRE[1:]), F.pow(F.col("x") - F.col("_x"), F.lit(2.0))))
     others = cameras.filter(F.col(arm) != baseline).join(base, [*groups, name])
-    return others.groupBy(*groups, arm).agg(F.median(apart).alias("dbase"))
+    return ranks.quantiles(others, [*groups, arm], {"dbase": (apart, 0.5)})
 
 
 def sweep_report(cameras: DataFrame, errors: DataFrame, groups: list[str], arm: str, baseline: str, name: str, tail: float) -> DataFrame:
     """groups, arm, n_cameras, dbase (null for the baseline) and the figures of errors (groups, arm, pos, rot)."""
     counted = cameras.groupBy(*groups, arm).agg(F.count("*").alias("n_cameras"))
-    figures = errors.groupBy(*groups, arm).agg(F.count("*").alias("n"), *E.error_columns("pos", "pos_"), E.bad_percent("pos", tail), F.median("rot").alias("rot_median"), F.percentile("rot", 0.9).alias("rot_p90"))
+    figures = E.error_figures(errors, [*groups, arm], {"pos": "pos_"}, [E.bad_percent("pos", tail)], {"rot_median": ("rot", 0.5), "rot_p90": ("rot", 0.9)})
     return counted.join(baseline_distance(cameras, groups, arm, baseline, name), [*groups, arm], "left").join(figures, [*groups, arm], "left")
 
 
@@ -83,7 +84,7 @@ def affine_spread(affine: DataFrame, groups: list[str]) -> DataFrame:
 
 def shared_range(pixels: DataFrame, groups: list[str], value: str = "x", share: float = 0.95) -> DataFrame:
     """The percentile of the values of all variants pooled: one end of a colour range for pictures that are compared."""
-    return pixels.groupBy(*groups).agg(F.percentile(value, share).alias("vmax"))
+    return ranks.quantiles(pixels, groups, {"vmax": (value, share)})
 
 
 def in_range(value: Column, vmax: Column) -> Column:

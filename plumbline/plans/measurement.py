@@ -131,12 +131,13 @@ def sensor_shape(spark, d):
 
 @query(V.sql(["meas"], """SELECT kind, count(*) AS n_images, sum(n)::BIGINT AS n FROM (
   SELECT 'num_modes' AS kind, image_id, count(*) AS n FROM meas WHERE sensor = 'R' GROUP BY image_id
+  UNION ALL SELECT 'no_meta', image_id, count(*) FROM meas WHERE sensor = 'N' AND estimated_depth > 3 GROUP BY image_id
   UNION ALL SELECT 'row_count', image_id, n - m FROM (SELECT image_id, count(*) AS n, count(*) FILTER (WHERE estimated_depth > 3) AS m FROM meas GROUP BY 1) WHERE n <> m
   UNION ALL SELECT rule, image_id, count(*) FROM (SELECT image_id, unnest(list_filter([CASE WHEN modes[1] <= 0 OR modes[2] <= 0 THEN 'modes' END, CASE WHEN weights[1] + weights[2] > 1 + 1e-3 THEN 'weight_sum' END,
     CASE WHEN sigmas[1] <= 0 OR sigmas[2] <= 0 THEN 'sigmas' END], lambda r: r IS NOT NULL)) AS rule FROM meas WHERE NOT is_sky AND estimated_depth > 3) GROUP BY ALL) GROUP BY kind""").replace("WHERE sensor = 'R' GROUP", "WHERE sensor = 'R' AND estimated_depth > 3 GROUP"))
 def audit_problems(spark, d):
     rows = V.meas(spark, d)
-    meta = spark.createDataFrame([("A", 2), ("N", 2), ("R", 3)], "sensor string, num_modes int")
+    meta = spark.createDataFrame([("A", 2), ("R", 3)], "sensor string, num_modes int")  # N was never recorded
     return checks.audit(rows, rows.filter("estimated_depth > 3"), meta).groupBy("kind").agg(F.count("*").alias("n_images"), F.sum("n").alias("n"))
 
 
