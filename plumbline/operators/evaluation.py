@@ -47,10 +47,10 @@ def pose_auc(errors: DataFrame, keys: list[str], error: str, thresholds: list[fl
     cut = lambda f, t: f(F.when(e <= float(t), e))
     sums = [x for i, t in enumerate(thresholds) for x in (F.count_if(e <= float(t)).alias(f"_k{i}"), F.coalesce(cut(F.max, t), F.lit(0.0)).alias(f"_m{i}"), F.coalesce(cut(F.sum, t), F.lit(0.0)).alias(f"_s{i}"))]
     got = errors.groupBy(*keys).agg(F.count("*").alias("_n"), *sums)
-    at = lambda i, t: F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_k{i}").alias("k"), F.col(f"_m{i}").alias("m"), F.col(f"_s{i}").alias("s"))
+    at = lambda i, t: F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_k{i}").alias("_k"), F.col(f"_m{i}").alias("_m"), F.col(f"_s{i}").alias("_s"))
     got = got.select(*keys, "_n", F.explode(F.array(*(at(i, t) for i, t in enumerate(thresholds)))).alias("_t")).select(*keys, "_n", "_t.*")
-    area = (F.col("m") * (2 * F.col("k") + 1) - 2 * F.col("s")) / (2 * F.col("_n"))
-    return got.select(*keys, "threshold", ((area + (F.col("threshold") - F.col("m")) * F.col("k") / F.col("_n")) / F.col("threshold")).alias("auc"))
+    area = (F.col("_m") * (2 * F.col("_k") + 1) - 2 * F.col("_s")) / (2 * F.col("_n"))
+    return got.select(*keys, "threshold", ((area + (F.col("threshold") - F.col("_m")) * F.col("_k") / F.col("_n")) / F.col("threshold")).alias("auc"))
 
 
 def drift_profile(errors: DataFrame, keys: list[str], order: str, error: str, parts: int = 10) -> DataFrame:

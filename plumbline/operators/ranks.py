@@ -66,7 +66,7 @@ def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str | Colu
     columns: list = []
     which = {}
     for name, (value, _) in wanted.items():
-        at = next((i for i, c in enumerate(columns) if c is value or (isinstance(c, str) and c == value)), None)
+        at = next((i for i, c in enumerate(columns) if c is value or (isinstance(c, str) and isinstance(value, str) and c == value)), None)
         which[name] = len(columns) if at is None else at
         if at is None:
             columns.append(value)
