@@ -8,12 +8,12 @@ numpy, so no Python loop runs over keypoints.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULTS = {"patch_scale": 4.0, "r_min": 2, "wmin": 0.05, "em_iters": 30, "uniform_prior": True, "sigma_log_min": 0.05, "sep_log_min": 0.1}
-FIT = "struct<mu1: double, s0: double, s1: double, w0: double, w1: double>"
 
 
 def fit_block(y: np.ndarray, w: np.ndarray, mu0: np.ndarray, floor: float, wmin: float, sep: float, rounds: int) -> np.ndarray:
@@ -51,20 +51,28 @@ def fit_block(y: np.ndarray, w: np.ndarray, mu0: np.ndarray, floor: float, wmin:
 
 
 def with_fit(samples: DataFrame, y: str = "y", w: str = "w", mu0: str = "mu0", params: dict | None = None) -> DataFrame:
-    """Adds the column ``fit`` (mu1, s0, s1, w0, w1) for sample arrays ``y`` with weights ``w`` around ``mu0``."""
+    """Adds the column ``fit`` (mu1, s0, s1, w0, w1) for sample arrays ``y`` with weights ``w`` around ``mu0``.
+
+    All columns of ``samples`` go through the worker, so it should have no others than are wanted after it.
+    """
     p = DEFAULTS | (params or {})
+    names = ["mu1", "s0", "s1", "w0", "w1"]
 
-    @F.pandas_udf(FIT)
-    def fit(ys: pd.Series, ws: pd.Series, mus: pd.Series) -> pd.DataFrame:
-        sizes = ys.map(len).to_numpy()
-        out = np.empty((len(ys), 5))
-        for size in np.unique(sizes):
-            at = np.flatnonzero(sizes == size)
-            block = lambda s: np.array([s.iloc[i] for i in at], np.float64).reshape(len(at), size)  # noqa: E731, B023
-            out[at] = fit_block(block(ys), block(ws), mus.to_numpy(np.float64)[at], p["sigma_log_min"], p["wmin"], p["sep_log_min"], p["em_iters"])
-        return pd.DataFrame(out, columns=["mu1", "s0", "s1", "w0", "w1"])
+    def fit(batches):
+        for batch in batches:
+            sizes = batch.column(y).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            first = np.cumsum(sizes) - sizes
+            ys, ws = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.float64) for c in (y, w))
+            mus = batch.column(mu0).to_numpy(zero_copy_only=False).astype(np.float64)
+            out = np.empty((batch.num_rows, len(names)))
+            for size in np.unique(sizes):
+                rows = np.flatnonzero(sizes == size)
+                at = first[rows][:, None] + np.arange(size)
+                out[rows] = fit_block(ys[at], ws[at], mus[rows], p["sigma_log_min"], p["wmin"], p["sep_log_min"], p["em_iters"])
+            fitted = pa.StructArray.from_arrays([pa.array(c) for c in out.T], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, fitted], [*batch.schema.names, "fit"])
 
-    return samples.withColumn("fit", fit(y, w, mu0))
+    return samples.mapInArrow(fit, T.StructType([*samples.schema.fields, T.StructField("fit", T.StructType([T.StructField(n, T.DoubleType()) for n in names]))]))
 
 
 def weighted_moments(samples: DataFrame, keys: list[str], y: str = "y", w: str = "w") -> DataFrame:

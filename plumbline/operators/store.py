@@ -1,7 +1,9 @@
-"""The measurement store: Parquet by sensor, with a meta row as the record of a finished ingest.
+"""The measurement store: Parquet by sensor and version, and a manifest that names the version in force.
 
-Rows are written to a staging folder, checked there, and only then published by replacing the sensor's partition; the
-meta row comes last, so a sensor without one was never ingested.  A failed check leaves the published data untouched.
+Rows are written to a folder of their own, checked there, and published by one entry in the manifest, which holds the meta
+row and the folder together: a reader sees a sensor's old rows and meta, or its new ones, and never a mixture.  An entry is
+one file that appears whole; of several of a sensor the latest holds.  A failed check, or a failure before the entry is
+written, leaves what is published as it was.  The version before the last stays on disk for readers that have begun.
 """
 
 from __future__ import annotations
@@ -10,9 +12,9 @@ import datetime as dt
 import json
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline import schemas
 from plumbline.operators import checks, sampling
@@ -20,24 +22,39 @@ from plumbline.functions.naming import stem
 from plumbline.staging import remove
 
 SIGMA_SPACES = ("log", "linear", "inverse")
+#: a line of the manifest: the meta row, where its rows lie (null: the sensor was deleted) and its number
+ENTRY = T.StructType([*schemas.SENSOR_META.fields, T.StructField("folder", T.StringType()), T.StructField("version", T.LongType())])
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _read(self, name: str, schema) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _entries(self) -> DataFrame:
+        """All entries of the manifest; none where nothing was ever published."""
+        path, files = self._path("manifest")
+        if not files.exists(path):
+            return self.spark.createDataFrame([], ENTRY)
+        return self.spark.read.schema(ENTRY).parquet(f"{self.root}/manifest")
+
+    def _live(self) -> DataFrame:
+        """The entry in force of each sensor that is not deleted."""
+        latest = self._entries().groupBy("sensor").agg(F.max_by(F.struct("*"), F.struct("version", "folder")).alias("_e"))
+        return latest.select("_e.*").filter("folder IS NOT NULL")
 
     def rows(self, sensor: str | None = None) -> DataFrame:
-        found = self._read("measurements", schemas.MEASUREMENT)
-        return found if sensor is None else found.filter(F.col("sensor") == sensor)
+        live = self._live() if sensor is None else self._live().filter(F.col("sensor") == sensor)
+        folders = [f"{self.root}/measurements/{r.folder}" for r in live.select("folder").collect()]  # a row a sensor
+        if not folders:
+            return self.spark.createDataFrame([], schemas.MEASUREMENT)
+        return self.spark.read.schema(schemas.MEASUREMENT).parquet(*folders)
 
     def meta(self) -> DataFrame:
-        return self._read("meta", schemas.SENSOR_META)
+        return self._live().select(schemas.SENSOR_META.fieldNames())
 
     def sensors(self) -> DataFrame:
         return self.meta().select("sensor").orderBy("sensor")
@@ -72,15 +89,16 @@ class Store:
             raise ValueError(f"sigma_space {meta['sigma_space']!r} is none of {SIGMA_SPACES}")
         if self.meta().filter(F.col("sensor") == sensor).count() and not force:
             raise ValueError(f"sensor {sensor!r} is stored already; use force to replace it")
-        staged = f"{self.root}/staging-{uuid.uuid4().hex}"
-        rows.withColumn("sensor", F.lit(sensor)).select(schemas.MEASUREMENT.fieldNames()).write.parquet(staged)
-        held = self.spark.read.schema(schemas.MEASUREMENT).parquet(staged)
+        folder = f"{sensor_folder(sensor)}/{uuid.uuid4().hex}"
+        path = f"{self.root}/measurements/{folder}"
         try:
-            self._check(held, meta, keypoints)
-            held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sensor").parquet(f"{self.root}/measurements")
-        finally:
-            remove(self.spark, staged)
-        self._put_meta(meta)
+            rows.withColumn("sensor", F.lit(sensor)).select(schemas.MEASUREMENT.fieldNames()).write.parquet(path)
+            self._check(self.spark.read.schema(schemas.MEASUREMENT).parquet(path), meta, keypoints)
+            self._publish(meta, folder)
+        except BaseException:
+            remove(self.spark, path)
+            raise
+        self._tidy(sensor)
 
     def _check(self, held: DataFrame, meta: dict, keypoints: DataFrame | None) -> None:
         wrong = {
@@ -100,18 +118,33 @@ class Store:
         if not checks.sigma_space_agrees(held, meta.get("sigma_space")):
             raise ValueError("sigma_space must be given if and only if there are sigmas")
 
-    def _put_meta(self, meta: dict) -> None:
+    def _publish(self, meta: dict, folder: str | None) -> None:
+        """The entry that puts a version in force, or with no folder ends the sensor."""
         now = dt.datetime.now(dt.UTC).replace(microsecond=0, tzinfo=None)
-        row = {"created_at": now, "sigma_space": None, "dump_dir": "", "dump_hash": ""} | meta
+        row = dict.fromkeys(ENTRY.fieldNames()) | {"created_at": now, "dump_dir": "", "dump_hash": ""} | meta
         row["method_params"] = json.dumps(meta.get("method_params") or {}, sort_keys=True)
-        made = self.spark.createDataFrame([tuple(row[c] for c in schemas.SENSOR_META.fieldNames())], schemas.SENSOR_META)
-        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sensor").parquet(f"{self.root}/meta")
+        last = self._entries().filter(F.col("sensor") == meta["sensor"]).agg(F.max("version")).first()[0]
+        row |= {"folder": folder, "version": (last or 0) + 1}
+        made = self.spark.createDataFrame([tuple(row[c] for c in ENTRY.fieldNames())], ENTRY)
+        made.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+
+    def _tidy(self, sensor: str) -> None:
+        """Delete versions older than the one before the last."""
+        mine = self._entries().filter((F.col("sensor") == sensor) & F.col("folder").isNotNull())
+        for r in mine.orderBy(F.desc("version"), F.desc("folder")).offset(2).select("folder").collect():
+            remove(self.spark, f"{self.root}/measurements/{r.folder}")
 
     def delete(self, sensor: str) -> None:
-        """Drop the sensor's partition of both tables, its meta row first; no other sensor's files are touched."""
-        folder = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(sensor)
-        for name in ("meta", "measurements"):
-            remove(self.spark, f"{self.root}/{name}/sensor={folder}")
+        """End the sensor by an entry, then drop its folder; no other sensor's files are touched."""
+        if self._live().filter(F.col("sensor") == sensor).isEmpty():
+            return
+        self._publish({"sensor": sensor}, None)
+        remove(self.spark, f"{self.root}/measurements/{sensor_folder(sensor)}")
+
+
+def sensor_folder(sensor: str) -> str:
+    """A folder name of letters and digits, another for every sensor."""
+    return "sensor_" + "".join(c if c.isalnum() and c.isascii() else f"_{c.encode().hex()}_" for c in sensor)
 
 
 def attach(store: Store, images: DataFrame, keypoints: DataFrame, bundles: DataFrame, sensor: str, method: str, params: dict | None = None, *, force: bool = False, dump_dir: str = "", dump_hash: str = "") -> None:

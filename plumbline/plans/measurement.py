@@ -81,7 +81,7 @@ FROM start s LEFT JOIN em e ON e.image_id = s.image_id AND e.point2D_idx = s.poi
 
 @query("WITH RECURSIVE " + V.sql(["bundle", "kp"], f",{PATCHES},{EM}").removeprefix("WITH ").replace("\n,located", ",\nlocated"))
 def anchored_em(spark, d):
-    rows = mixture.with_fit(sampling.patches(V.bundle(spark, d), V.kp(spark, d)), "ys", "ws", "mu0")
+    rows = mixture.with_fit(sampling.patches(V.bundle(spark, d), V.kp(spark, d)).select("image_id", "point2D_idx", "ys", "ws", "mu0"), "ys", "ws", "mu0")
     return rows.select("image_id", F.col("point2D_idx").cast("long").alias("point2D_idx"), *(F.round(f"fit.{c}", 4).alias(c) for c in ("mu1", "s0", "s1", "w1")))
 
 

@@ -125,15 +125,77 @@ def test_ingest_publishes_checks_and_replaces(spark, tmp_path):
     with pytest.raises(KeyError, match="lidar"):
         store.sensor_meta("other")
     attach(store, images, kp, bundles, "other", "unimodal")
-    before = sorted(str(p) for p in (tmp_path / "store" / "measurements" / "sensor=other").iterdir())
+    before = sorted(str(p) for p in (tmp_path / "store" / "measurements" / "sensor_other").iterdir())
     store.delete("lidar a/b")
     assert [r.sensor for r in store.sensors().collect()] == ["other"] and store.count_rows("lidar a/b") == 0 and store.count_rows("other") == 6
-    assert sorted(str(p) for p in (tmp_path / "store" / "measurements" / "sensor=other").iterdir()) == before  # no other sensor is rewritten
-    assert not list((tmp_path / "store").glob("staging-*"))
+    assert sorted(str(p) for p in (tmp_path / "store" / "measurements" / "sensor_other").iterdir()) == before  # no other sensor is rewritten
+    assert len(list((tmp_path / "store" / "measurements").glob("*/*"))) == 1  # nothing that failed or was deleted is left
     store.delete("other")
     assert store.sensors().count() == 0
 
 
+def test_rows_and_meta_change_together(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    meta = {"sensor": "s", "num_modes": 1, "method": "unimodal", "sigma_space": "log", "has_confidence": False}
+    store.write(measured(spark, [{}, {}]), meta | {"dump_hash": "first"})
+    seen = lambda: (store.count_rows("s"), store.sensor_meta("s").dump_hash)
+    assert seen() == (2, "first")
+
+    def fails(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_publish", fails)
+        with pytest.raises(OSError, match="lost"):
+            store.write(measured(spark, [{}]), meta | {"dump_hash": "second"}, force=True)
+    assert seen() == (2, "first") and len(list((tmp_path / "store" / "measurements" / "sensor_s").iterdir())) == 1
+    begun = store.rows("s")
+    store.write(measured(spark, [{}]), meta | {"dump_hash": "third"}, force=True)
+    assert seen() == (1, "third") and begun.count() == 2  # a reader that has begun goes on
+    for n in range(3):
+        store.write(measured(spark, [{}] * 3), meta | {"dump_hash": f"more {n}"}, force=True)
+    assert seen() == (3, "more 2") and len(list((tmp_path / "store" / "measurements" / "sensor_s").iterdir())) == 2
+    store.write(measured(spark, [{}]).limit(0), meta | {"sigma_space": None, "dump_hash": "none"}, force=True)
+    assert seen() == (0, "none") and store.rows().count() == 0 and store.meta().count() == 1
+
+
+def walk(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from walk(plan.children().apply(i))
+
+
+def test_no_raster_goes_through_the_fit(spark):
+    """What meets the Python worker is a keypoint's samples and what was read at its pixel."""
+    _, kp, bundles, _ = scene(spark)
+    named = bundles.withColumn("image_id", F.when(F.col("stem") == "left", 1).otherwise(2).cast("long"))
+    plan = sampling.EXTRACTORS["gmm_patch"](named, kp)._jdf.queryExecution().optimizedPlan()
+    fits = [n for n in walk(plan) if n.nodeName() == "MapInArrow"]
+    assert len(fits) == 1
+    held = {a.split("#")[0] for a in fits[0].children().apply(0).output().mkString(" ").split()}
+    assert "ys" in held and "estimated_depth" in held and not any(c.startswith("b_") for c in held)
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_tiles_give_the_rows_of_whole_rasters(spark, size):
+    rng = np.random.default_rng(6)
+    h, w, k = 9, 14, 2
+    floats = lambda n: rng.uniform(1, 9, n).round(3).tolist()
+    rows = [(i, h, w, k, floats(h * w), floats(h * w), (rng.random(h * w) > 0.7).tolist(), floats(k * h * w), [0.5] * (k * h * w), floats(k * h * w)) for i in (1, 2)]
+    rows.append((3, 2, 3, 1, floats(6), None, None, None, None, None))
+    bundles = spark.createDataFrame(rows, "image_id long, h int, w int, k int, estimated_depth array<float>, confidence array<float>, sky_mask array<boolean>, means array<float>, weights array<float>, sigmas array<float>")
+    probes = [(i, n, float(x), float(y), float(s), 0.0, 0.0, float(s)) for i in (1, 2, 3) for n, (x, y, s) in enumerate(zip(rng.uniform(-1, w + 1, 40), rng.uniform(-1, h + 1, 40), rng.choice([0.2, 0.5, 1.1], 40), strict=True))]
+    kp = spark.createDataFrame(probes, "image_id long, point2D_idx int, x double, y double, a11 double, a12 double, a21 double, a22 double")
+    for method in ("unimodal", "gmm_patch", "mda_native"):
+        some = bundles if method != "mda_native" else bundles.filter("k > 1")
+        whole = {(r.image_id, r.point2D_idx): tuple(r) for r in sampling.EXTRACTORS[method](some, kp).collect()}
+        cut = sampling.EXTRACTORS[method](some, kp, {"tile": size})
+        got = {(r.image_id, r.point2D_idx): tuple(r) for r in cut.collect()}
+        assert got == whole and len(got) == (120 if method != "mda_native" else 80)
+    sized = sampling.tiles(bundles, 4, 1).filter("image_id = 1").collect()
+    assert len(sized) == 12 and all(r.th <= 6 and r.tw <= 6 and len(r.estimated_depth) == r.th * r.tw for r in sized)
+
+
 def test_duplicates_and_unknown_spaces_are_refused(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     meta = {"sensor": "s", "num_modes": 1, "method": "unimodal", "sigma_space": "log", "has_confidence": False}
