@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.plans import adjustment, evaluation, geometry, measurement, reports
+from plumbline.plans import adjustment, evaluation, geometry, mapping, measurement, reports
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (measurement, adjustment, evaluation, geometry, reports):
+for _module in (measurement, adjustment, mapping, evaluation, geometry, reports):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
