@@ -276,10 +276,10 @@ def four_poses(e: np.ndarray) -> np.ndarray:
 
 
 def relative_poses(matches: DataFrame, options: TwoView | None = None) -> DataFrame:
-    """id_a, id_b, rotation, translation (of length one), n, n_inliers, rms (pixels) and n_front of every pair with a geometry.
+    """id_a, id_b, rotation, translation (of length one), n, n_inliers, rms (pixels), n_front and angle of every pair with a geometry.
 
     ``matches`` has id_a, id_b, match_id, the rays ua, va, ub, vb (normalised coordinates) and the focal length in pixels;
-    pairs of which all matches lie on one plane are left out.  Of the four poses of an essential matrix it is the one
+    pairs of which all matches lie on one plane are left out.  ``angle`` is the mean angle (degrees) between an inlier's rays.  Of the four poses of an essential matrix it is the one
     that puts the most inliers in front of both cameras.
     """
     o = options or TwoView()
@@ -311,8 +311,9 @@ def relative_poses(matches: DataFrame, options: TwoView | None = None) -> DataFr
         near = -sum((x * y for x, y in zip(one[1:], two[1:], strict=True)), one[0] * two[0]) / (sum((x * x for x in one[1:]), one[0] * one[0]) + 1e-300)
         return (near > 0) & (near * F.get(turned, 2) + F.get(move, 2) > 0)
 
-    counts = [F.count_if(front(F.get("_poses", i))).alias(f"_f{i}") for i in range(4)]
+    apart = lambda p: G.direction_angle(G.apply(F.slice(p, 1, 9), F.array(*a)), F.array(*b))
+    counts = [F.count_if(front(F.get("_poses", i))).alias(f"_f{i}") for i in range(4)] + [F.avg(apart(F.get("_poses", i))).alias(f"_a{i}") for i in range(4)]
     told = judged.groupBy(*keys).agg(*counts)
-    best = F.array_max(F.array(*(F.struct(F.col(f"_f{i}").alias("n_front"), F.lit(-i).alias("i")) for i in range(4))))
+    best = F.array_max(F.array(*(F.struct(F.col(f"_f{i}").alias("n_front"), F.lit(-i).alias("i"), F.col(f"_a{i}").alias("angle")) for i in range(4))))
     told = told.select(*keys, best.alias("_b")).join(models.withColumn("_poses", poses("model")), keys).withColumn("_p", F.get("_poses", -F.col("_b.i")))
-    return told.select(*keys, F.slice("_p", 1, 9).alias("rotation"), F.slice("_p", 10, 3).alias("translation"), "n", "n_inliers", "rms", F.col("_b.n_front").alias("n_front"))
+    return told.select(*keys, F.slice("_p", 1, 9).alias("rotation"), F.slice("_p", 10, 3).alias("translation"), "n", "n_inliers", "rms", F.col("_b.n_front").alias("n_front"), F.col("_b.angle").alias("angle"))

@@ -138,3 +138,6 @@ def test_relative_poses_are_found_exactly(spark, world, share):
         turn, move = rb @ ra.T, tb - rb @ ra.T @ ta
         assert np.allclose(np.reshape(r.rotation, (3, 3)), turn, atol=1e-5) and np.allclose(r.translation, move / np.linalg.norm(move), atol=1e-5)
         assert r.n_front == r.n_inliers
+        centre = lambda f: -frames[f][0].T @ frames[f][1]
+        rays = [(x - centre(r.id_a), x - centre(r.id_b)) for x in points.values()]
+        assert abs(r.angle - np.mean([np.degrees(np.arccos(a @ b / np.linalg.norm(a) / np.linalg.norm(b))) for a, b in rays])) < (0.01 if share == 0 else 2)
