@@ -240,7 +240,7 @@ def adjusted_scene(spark, d):
     seen = staged(V.seen(spark, d).filter("point3D_id IS NOT NULL"), "seen")
     reproj, start, depth, truth = scene_of(seen)
     reproj, depth = staged(reproj, "pixels"), staged(depth, "depths")
-    got, _, _ = solver.solve(reproj, start, solver.Options(rounds=3, inner_rounds=6), depth)
+    got, _, _ = solver.solve(reproj, start, solver.Options(), depth)
     apart = lambda t: G.norm(G.sub(F.col(t), F.col("true")))
     both = start.frames.select("frame_id", F.col("translation").alias("before")).join(got.frames.select("frame_id", F.col("translation").alias("after")), "frame_id").join(truth.select("frame_id", F.col("translation").alias("true")), "frame_id")
     return both.join(seen.groupBy(F.col("image_id").alias("frame_id")).agg(F.count("*").alias("n")), "frame_id").select("frame_id", "n", apart("before").alias("error_before"), apart("after").alias("error_after"))

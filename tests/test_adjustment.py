@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import mapping, problem, registration, solver
+from plumbline.operators import mapping, packs, problem, registration, solver
 from plumbline.plans.adjustment import scene_of
 from plumbline.staging import staged
 
@@ -43,13 +43,13 @@ def dense(rows, damping):
     return {name: step[a : a + size[name[0]]] for name, a in at.items()}
 
 
-@pytest.mark.parametrize("gauge", ["two_frames", "three_points"])
-def test_joint_step_is_the_dense_one(scene, gauge):
+@pytest.mark.parametrize(("gauge", "in_arrays"), [("two_frames", False), ("two_frames", True), ("three_points", True)])
+def test_joint_step_is_the_dense_one(scene, gauge, in_arrays):
     reproj, state, depth, _ = scene
     o = solver.Options(gauge=gauge, inner_rounds=60, inner_tolerance=1e-6, loss="huber", loss_scale=1.5)
     rows = solver._derivatives(reproj, depth, state, o, solver._gauge(state, gauge))
     expected = dense(rows.collect(), 1e-2)
-    step, points = solver._step(rows, o, 1e-2)
+    step, points = packs.step(packs.packed(rows), 1e-2, o.inner_rounds, o.inner_tolerance) if in_arrays else solver._step(rows, o, 1e-2)
     got = {(("frame", "key")[r.kind], r.id): r.x for r in step.collect()} | {("point", r.point3D_id): r.x for r in points.collect()}
     assert set(got) == set(expected)
     scale = max(np.abs(v).max() for v in expected.values())
