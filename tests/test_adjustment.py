@@ -163,3 +163,11 @@ def test_snapshots_and_the_ledger(scene, spark, tmp_path):
     assert held["stage"] == "a" and held["commit"] == "123" and ran == ["a", "b", "c", "a"]
     with pytest.raises(ValueError, match="unknown"):
         ledger.run(["z"], actions, {})
+
+
+def test_adjusted_scene_converges(spark, capsys):
+    from plumbline.plans.adjustment import QUERIES
+
+    rows = QUERIES["adjusted_scene"](spark, "/root/testdata/sf0.001").collect()
+    before, after = (np.array([r[c] for r in rows]) for c in ("error_before", "error_after"))
+    assert len(rows) == 150 and after.mean() < before.mean() / 4 and all(a == 0 for r, a in zip(rows, after, strict=True) if r.frame_id <= 2)
