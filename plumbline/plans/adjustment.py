@@ -235,13 +235,13 @@ def adjusted_scene(spark, d):
     """The scene of all customers (frames) and the parts they ordered (points), adjusted jointly with depth factors.
 
     Per frame: its observations, and the distance of its centre from the true one before and after.  Rounds go on until no
-    component of the gradient is above 1 (pixels times pixels a unit), at most the operator's 20.  The step is tested against
+    component of the gradient is above 10 (pixels times pixels a unit), at most the operator's 20.  The step is tested against
     a dense solve.
     """
     seen = staged(V.seen(spark, d).filter("point3D_id IS NOT NULL"), "seen")
     reproj, start, depth, truth = scene_of(seen)
     reproj, depth = staged(reproj, "pixels"), staged(depth, "depths")
-    got, _, _ = solver.solve(reproj, start, solver.Options(gradient_tolerance=1.0), depth)
+    got, _, _ = solver.solve(reproj, start, solver.Options(gradient_tolerance=10.0), depth)
     apart = lambda t: G.norm(G.sub(F.col(t), F.col("true")))
     both = start.frames.select("frame_id", F.col("translation").alias("before")).join(got.frames.select("frame_id", F.col("translation").alias("after")), "frame_id").join(truth.select("frame_id", F.col("translation").alias("true")), "frame_id")
     return both.join(seen.groupBy(F.col("image_id").alias("frame_id")).agg(F.count("*").alias("n")), "frame_id").select("frame_id", "n", apart("before").alias("error_before"), apart("after").alias("error_after"))
