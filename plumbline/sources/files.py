@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from plumbline import schemas
 from plumbline.functions import naming
 from plumbline.operators import checks
+from plumbline.sources import records
+from plumbline.sources.bytes import PART, numbered_lines
 
 KNOWN = {"estimated_depth", "means", "weights", "sigmas", "confidence", "sky_mask"}
 
@@ -204,22 +206,53 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return read_texts(spark, path).select("path", F.transform(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)), lambda x: x.cast("double")).alias("m"))
 
 
-def read_model(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """A reconstruction in text form: cameras, images (pose and name), observations, points."""
-    lines = lambda name: read_texts(spark, f"{folder}/{name}").select(F.posexplode(F.split("text", "\n")).alias("no", "line")).filter(~F.startswith("line", F.lit("#")))
+def model_form(spark: SparkSession, folder: str) -> str | None:
+    """``binary``, ``text`` or None: the form in which a folder holds a reconstruction."""
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    there = lambda name: path(name).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(name))
+    return "binary" if there("cameras.bin") else "text" if there("cameras.txt") else None
+
+
+def read_model(spark: SparkSession, folder: str, part: int = PART) -> dict[str, DataFrame]:
+    """A reconstruction in binary or text form: cameras, images (pose and name), observations, points, tracks.
+
+    Both forms give the same tables and are read in many splits.  A point2D without a point has a null point3D_id.
+    """
+    form = model_form(spark, folder)
+    if form is None:
+        raise FileNotFoundError(f"{folder} holds no cameras.bin or cameras.txt")
+    return _binary_model(spark, folder, part) if form == "binary" else _text_model(spark, folder)
+
+
+def _binary_model(spark: SparkSession, folder: str, part: int) -> dict[str, DataFrame]:
+    cameras, _ = records.read_records(spark, f"{folder}/cameras.bin", records.CAMERAS, part)
+    images, seen = records.read_records(spark, f"{folder}/images.bin", records.IMAGES, part)
+    points, tracks = records.read_records(spark, f"{folder}/points3D.bin", records.POINTS, part)
+    point = F.nullif("point3D_id", F.lit(-1).cast("long")).alias("point3D_id")
+    observations = images.select("at", "image_id").join(seen, "at").select("image_id", F.col("place").cast("int").alias("point2D_idx"), "x", "y", point)
+    tracks = points.select("at", "point3D_id").join(tracks, "at").select("point3D_id", "image_id", F.col("point2D_idx").cast("int").alias("point2D_idx"))
+    return {"cameras": cameras.drop("path", "at"), "images": images.drop("path", "at"), "observations": observations, "points": points.drop("path", "at"), "tracks": tracks}
+
+
+def _text_model(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    lines = lambda name: spark.read.text(f"{folder}/{name}").select(F.col("value").alias("line")).filter("line NOT LIKE '#%' AND trim(line) <> ''")
     part = lambda i: F.get(F.split("line", " "), i)
     numbers = lambda a: F.transform(a, lambda x: x.cast("double"))
     words = F.split("line", " ")
-    cameras = lines("cameras.txt").filter("trim(line) <> ''").select(part(0).cast("long").alias("camera_id"), part(1).alias("model"), part(2).cast("int").alias("width"), part(3).cast("int").alias("height"), numbers(F.slice(words, 5, 100)).alias("params"))
-    kept = F.filter(F.split("text", "\n"), lambda x: ~F.startswith(x, F.lit("#")))  # two lines an image from here on
-    rows = read_texts(spark, f"{folder}/images.txt").select(F.posexplode(kept).alias("no", "line")).withColumn("odd", F.col("no") % 2)
-    images = rows.filter("odd = 0 AND trim(line) <> ''").select("no", part(0).cast("long").alias("image_id"), numbers(F.slice(words, 2, 4)).alias("q_wxyz"), numbers(F.slice(words, 6, 3)).alias("translation"), part(8).cast("long").alias("camera_id"), part(9).alias("name"))
-    points2d = rows.filter("odd = 1 AND trim(line) <> ''").select((F.col("no") - 1).alias("no"), F.filter(words, lambda x: x != "").alias("n"))
+    cameras = lines("cameras.txt").select(part(0).cast("long").alias("camera_id"), part(1).alias("model"), part(2).cast("int").alias("width"), part(3).cast("int").alias("height"), numbers(F.slice(words, 5, 100)).alias("params"))
+    rows = numbered_lines(spark, f"{folder}/images.txt", "#").withColumn("record", F.shiftright("no", 1)).withColumn("odd", F.col("no") % 2)  # two lines an image
+    images = rows.filter("odd = 0 AND trim(line) <> ''").select("record", part(0).cast("long").alias("image_id"), numbers(F.slice(words, 2, 4)).alias("q_wxyz"), numbers(F.slice(words, 6, 3)).alias("translation"), part(8).cast("long").alias("camera_id"), F.array_join(F.slice(words, 10, 1000), " ").alias("name"))
+    points2d = rows.filter("odd = 1 AND trim(line) <> ''").select("record", F.filter(words, lambda x: x != "").alias("n"))
     n = F.sequence(F.lit(0), (F.size("n") / 3).cast("int") - 1)
     each = F.explode(F.transform(n, lambda i: F.struct(i.alias("point2D_idx"), F.get("n", 3 * i).cast("double").alias("x"), F.get("n", 3 * i + 1).cast("double").alias("y"), F.nullif(F.get("n", 3 * i + 2).cast("long"), F.lit(-1).cast("long")).alias("point3D_id"))))
-    observations = images.select("no", "image_id").join(points2d, "no").select("image_id", each.alias("o")).select("image_id", "o.*")
-    points = lines("points3D.txt").filter("trim(line) <> ''").select(part(0).cast("long").alias("point3D_id"), numbers(F.slice(words, 2, 3)).alias("xyz"), part(7).cast("double").alias("error"))
-    return {"cameras": cameras, "images": images.drop("no"), "observations": observations, "points": points}
+    observations = images.select("record", "image_id").join(points2d, "record").select("image_id", each.alias("o")).select("image_id", "o.*")
+    held = lines("points3D.txt")
+    points = held.select(part(0).cast("long").alias("point3D_id"), numbers(F.slice(words, 2, 3)).alias("xyz"), part(7).cast("double").alias("error"))
+    track = F.filter(words, lambda x, i: (i >= 8) & (x != ""))
+    pairs = held.select(part(0).cast("long").alias("point3D_id"), track.alias("n")).filter("size(n) > 1")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), (F.size("n") / 2).cast("int") - 1), lambda i: F.struct(F.get("n", 2 * i).cast("long").alias("image_id"), F.get("n", 2 * i + 1).cast("int").alias("point2D_idx"))))
+    tracks = pairs.select("point3D_id", pair.alias("t")).select("point3D_id", "t.*")
+    return {"cameras": cameras, "images": images.drop("record"), "observations": observations, "points": points, "tracks": tracks}
 
 
 def model_lines(images: DataFrame) -> DataFrame:
