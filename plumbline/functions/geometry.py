@@ -153,6 +153,17 @@ def quaternion_of(r: Column) -> Column:
     return F.when(tr > 0, first).when((m[0] > m[4]) & (m[0] > m[8]), second).when(m[4] > m[8], third).otherwise(fourth)
 
 
+def pose_vector(r: Column, t: Column) -> Column:
+    """A pose as seven numbers: the quaternion (x, y, z, w) of its rotation, then its translation."""
+    turned = bound(lambda q: F.array(*(_at(q, i) for i in (1, 2, 3, 0))))(quaternion_of(r))
+    return F.concat(turned, t)
+
+
+def pose_of_vector(p: Column) -> Column:
+    """struct(rotation, translation) of seven numbers; the quaternion is taken as it is, of unit length or not."""
+    return F.struct(rotation_of(F.slice(p, 1, 4)).alias("rotation"), F.slice(p, 5, 3).alias("translation"))
+
+
 def apply_similarity(s: Column, r: Column, t: Column, x: Column) -> Column:
     """s R x + t."""
     return add(scale(apply(r, x), s), t)

@@ -128,6 +128,24 @@ def depth_costs(rows: DataFrame, space: str = "log", huber: float | None = None,
     return rows.withColumn("cost", 0.5 * (s if huber is None else D.robust(s, "huber", huber)))
 
 
+def convention_costs(rows: DataFrame, sigma: float = 0.1) -> DataFrame:
+    """Rows (rotation, translation, xyz) with the cost of a log depth factor under both orders of a pose's seven numbers.
+
+    The depth measured is that of the point in the camera; ``cost`` reads the seven numbers as quaternion and translation,
+    ``swapped`` reads them the other way round.  Null where either depth is not positive.  Only the right reading costs nothing.
+    """
+    z = G.depth_in_camera(F.col("rotation"), F.col("translation"), F.col("xyz"))
+    p = G.pose_vector(F.col("rotation"), F.col("translation"))
+
+    def cost(vector: Column) -> Column:
+        read = G.pose_of_vector(vector)
+        seen = G.depth_in_camera(read["rotation"], read["translation"], F.col("xyz"))
+        wh = (F.ln(z) - F.ln(seen)) / sigma
+        return F.when((z > 0) & (seen > 0), 0.5 * wh * wh)
+
+    return rows.withColumn("cost", cost(p)).withColumn("swapped", cost(F.concat(F.slice(p, 5, 3), F.slice(p, 1, 4))))
+
+
 def gauge_three_points(points: DataFrame) -> list[int]:
     """Ids of points to fix until three independent ones are: fixed points count first, then others by id.
 

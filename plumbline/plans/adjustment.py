@@ -100,7 +100,7 @@ def objective_split(spark, d):
     return got.select("kind", "n", F.round("cost", 3).alias("cost"))
 
 
-CONFIG = "image_id < 120"
+CONFIG = "image_id % 5 < 2"
 RESIDUALS = f"""listed AS (SELECT DISTINCT point3D_id FROM obs WHERE point3D_id % 10 = 3),
 res AS (SELECT o.*, i.frame_id, i.camera_id, 1 AS phase FROM obs o JOIN images i USING (image_id) WHERE point3D_id IS NOT NULL AND {CONFIG}
   UNION ALL SELECT o.*, i.frame_id, i.camera_id, 2 FROM obs o JOIN images i USING (image_id) WHERE point3D_id IN (SELECT point3D_id FROM listed) AND NOT ({CONFIG}))"""
@@ -158,11 +158,11 @@ def eligible_factors(spark, d):
     return got.select("image_id", "point3D_id")
 
 
-@query(V.sql(["obs"], "SELECT point3D_id, count(*) AS track_length FROM obs WHERE point3D_id IS NOT NULL GROUP BY 1 HAVING point3D_id % 7 = 0 OR count(*) <= 15"))
+@query(V.sql(["obs"], "SELECT point3D_id, count(*) AS track_length FROM obs WHERE point3D_id IS NOT NULL GROUP BY 1 HAVING point3D_id % 7 = 0 OR count(*) <= 25"))
 def track_length_cap(spark, d):
     o = V.obs(spark, d)
     points = o.filter("point3D_id IS NOT NULL").select("point3D_id").distinct().withColumn("error", F.when(F.col("point3D_id") % 7 == 0, -1.0).otherwise(0.5))
-    return problem.variable_points(points, o, 15)
+    return problem.variable_points(points, o, 25)
 
 
 @query(V.sql(["images"], "SELECT camera_id, count(*) AS n_images FROM images GROUP BY 1"))
@@ -176,10 +176,10 @@ def initial_pairs(spark, d):
     return pairing.initial_pairs(V.seen(spark, d), 2)
 
 
-@query(V.sql(["obs"], """SELECT image_id, count(DISTINCT point3D_id) AS visible FROM obs WHERE image_id >= 20 AND point3D_id IN (SELECT point3D_id FROM obs WHERE image_id < 20) GROUP BY 1 HAVING count(DISTINCT point3D_id) >= 2"""))
+@query(V.sql(["obs"], """SELECT image_id, count(DISTINCT point3D_id) AS visible FROM obs WHERE image_id % 10 > 0 AND point3D_id IN (SELECT point3D_id FROM obs WHERE image_id % 10 = 0) GROUP BY 1 HAVING count(DISTINCT point3D_id) >= 2"""))
 def next_images(spark, d):
     o = V.obs(spark, d)
-    ours = o.filter("image_id < 20")
+    ours = o.filter("image_id % 10 = 0")
     return pairing.next_images(o, ours.select("image_id").distinct(), ours.select("point3D_id").distinct(), 2)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
-from plumbline.operators import alignment, evaluation
+from plumbline.operators import alignment, evaluation, problem
+from plumbline.operators.samples import exact_sample
 from plumbline.plans import views as V
 from plumbline.plans.declare import r6, registrar
 from plumbline.sources.files import read_trajectory
@@ -149,3 +150,32 @@ def metric_scale(spark, d):
 def depth_in_camera(spark, d):
     x = F.array(F.lit(1.5), F.lit(-2.0), F.lit(4.0))
     return V.pose(spark, d).select("scene", "frame", r6(G.depth_in_camera(F.col("est_r"), F.col("est_t"), x), "z"))
+
+
+@query(V.sql(["pose"], "SELECT scene, frame, round(est_q[1], 6) AS x, round(est_q[2], 6) AS y, round(est_q[3], 6) AS z, round(est_q[4], 6) AS w, round(est_t[1], 6) AS tx, round(est_t[2], 6) AS ty, round(est_t[3], 6) AS tz FROM pose"))
+def pose_vectors(spark, d):
+    """The quaternion comes out of the rotation again."""
+    p = V.pose(spark, d).select("scene", "frame", G.pose_vector(F.col("est_r"), F.col("est_t")).alias("p"))
+    return p.select("scene", "frame", *(F.round(F.get("p", i) + 0.0, 6).alias(c) for i, c in enumerate(("x", "y", "z", "w", "tx", "ty", "tz"))))
+
+
+_AHEAD = "[1.0::DOUBLE - est_t[1], 2.0::DOUBLE - est_t[2], 3.0::DOUBLE + frame % 5 - est_t[3]]"
+_SWAPPED = "[est_t[1], est_t[2], est_t[3], est_q[1]]"
+
+
+@query(V.sql(["pose"], f""", facing AS (SELECT scene, 3.0::DOUBLE + frame % 5 AS z, {_SWAPPED} AS q, est_q[4] AS tz, {s_mv('ert', 'ahead')} AS p FROM (SELECT *, {s_t('est_r')} AS ert, {_AHEAD} AS ahead FROM pose)),
+other AS (SELECT scene, z, 2 * (q[1] * q[3] - q[2] * q[4]) * p[1] + 2 * (q[2] * q[3] + q[1] * q[4]) * p[2] + (1 - 2 * (q[1] * q[1] + q[2] * q[2])) * p[3] + tz AS seen FROM facing)
+SELECT scene, count(*) AS n, count(*) AS agree, count(*) FILTER (WHERE seen > 0) AS swapped_seen, count(*) FILTER (WHERE seen > 0 AND 0.5 * ((ln(z) - ln(CASE WHEN seen > 0 THEN seen ELSE 1 END)) / 0.1) ** 2 < 1e-12) AS swapped_agree FROM other GROUP BY scene""").replace("\n, facing", ",\nfacing"))
+def convention_gate(spark, d):
+    """Per scene: points in front of each camera, and how many depths either order of a pose's seven numbers gives again."""
+    ahead = F.array(F.lit(1.0), F.lit(2.0), 3.0 + F.col("frame") % 5)
+    xyz = G.apply(G.transpose(F.col("est_r")), G.sub(ahead, F.col("est_t")))
+    rows = problem.convention_costs(V.pose(spark, d).select("scene", F.col("est_r").alias("rotation"), F.col("est_t").alias("translation"), xyz.alias("xyz")))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return rows.groupBy("scene").agg(F.count("*").alias("n"), n(F.col("cost") < 1e-12).alias("agree"), F.count("swapped").alias("swapped_seen"), n(F.col("swapped") < 1e-12).alias("swapped_agree"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('11:' || o_orderkey) LIMIT 1000")
+def sampled_points(spark, d):
+    """A seeded sample of exactly 1,000 rows."""
+    return exact_sample(V.table(spark, d, "orders"), ["o_orderkey"], 1000, 11).select("o_orderkey", "o_totalprice")

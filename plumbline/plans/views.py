@@ -127,15 +127,15 @@ SQL["pose"] = f"""SELECT scene, frame, est_q, {sql_rotation("est_q")} AS est_r,
 
 
 def obs(spark, d) -> DataFrame:
-    """Observation graph: line items see points (parts); an image is an order's customer group; some are not triangulated."""
+    """Observation graph: line items see points (parts), ten orders are an image; some are not triangulated."""
     li = table(spark, d, "lineitem")
-    image, point = F.col("l_orderkey") % 300, F.col("l_partkey") % 900
-    seen = li.select(image.alias("image_id"), F.when(F.col("l_quantity") > 5, point).alias("point3D_id"), "l_extendedprice").groupBy("image_id", "point3D_id").agg(F.min("l_extendedprice").alias("x"))
-    return seen.select("image_id", (F.coalesce("point3D_id", F.lit(900))).cast("int").alias("point2D_idx"), "point3D_id", "x")
+    point = F.when(F.col("l_quantity") > 5, F.col("l_partkey"))
+    seen = li.select(F.expr("l_orderkey div 10").alias("image_id"), point.alias("point3D_id"), "l_extendedprice").groupBy("image_id", "point3D_id").agg(F.min("l_extendedprice").alias("x"))
+    return seen.select("image_id", F.coalesce(F.col("point3D_id") + 1, F.lit(0)).alias("point2D_idx"), "point3D_id", "x")
 
 
-SQL["obs"] = """SELECT image_id, coalesce(point3D_id, 900)::INT AS point2D_idx, point3D_id, x FROM (
-    SELECT l_orderkey % 300 AS image_id, CASE WHEN l_quantity > 5 THEN l_partkey % 900 END AS point3D_id, min(l_extendedprice) AS x FROM lineitem GROUP BY ALL)"""
+SQL["obs"] = """SELECT image_id, coalesce(point3D_id + 1, 0) AS point2D_idx, point3D_id, x FROM (
+    SELECT l_orderkey // 10 AS image_id, CASE WHEN l_quantity > 5 THEN l_partkey END AS point3D_id, min(l_extendedprice) AS x FROM lineitem GROUP BY ALL)"""
 
 
 def seen(spark, d) -> DataFrame:
@@ -149,12 +149,12 @@ SQL["seen"] = """SELECT DISTINCT o_custkey AS image_id, CASE WHEN l_quantity > 5
 
 
 def images(spark, d) -> DataFrame:
-    """Images 0..299: a frame for every image, four cameras."""
-    n = F.col("o_orderkey") % 300
-    return table(spark, d, "orders").select(n.alias("image_id"), n.alias("frame_id"), (n % 4).alias("camera_id")).distinct()
+    """Images of ten orders: a frame for every image, four cameras to two hundred images."""
+    n = F.expr("o_orderkey div 10")
+    return table(spark, d, "orders").select(n.alias("image_id"), n.alias("frame_id"), F.expr("o_orderkey div 10 div 200 * 4 + o_orderkey div 10 % 4").alias("camera_id")).distinct()
 
 
-SQL["images"] = "SELECT DISTINCT o_orderkey % 300 AS image_id, o_orderkey % 300 AS frame_id, o_orderkey % 300 % 4 AS camera_id FROM orders"
+SQL["images"] = "SELECT DISTINCT o_orderkey // 10 AS image_id, o_orderkey // 10 AS frame_id, o_orderkey // 10 // 200 * 4 + o_orderkey // 10 % 4 AS camera_id FROM orders"
 
 
 def factor(spark, d) -> DataFrame:

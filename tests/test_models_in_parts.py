@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import geometry as G
 from plumbline.operators.samples import exact_sample
 from plumbline.sources import bytes as parts_of
 from plumbline.sources import clouds, files, records
@@ -168,3 +169,15 @@ def test_samples_have_an_exact_size(spark, n):
         assert got.columns == df.columns and {r.id for r in got.collect()} == want and got.count() == min(n, 500)
     same = spark.range(60).select(F.lit(7).alias("id"))
     assert exact_sample(same, ["id"], 13, edge=5).count() == 13 and exact_sample(same.limit(0), ["id"], 13).count() == 0
+
+
+def test_poses_as_seven_numbers(spark):
+    rng = np.random.default_rng(2)
+    q = rng.normal(size=(40, 4))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    rows = [(i, [float(v) for v in a], [float(v) for v in t]) for i, (a, t) in enumerate(zip(q, rng.normal(size=(40, 3)), strict=True))]
+    df = spark.createDataFrame(rows, "i int, q array<double>, t array<double>").withColumn("r", G.rotation_of(F.col("q")))
+    df = df.withColumn("p", G.pose_vector(F.col("r"), F.col("t"))).withColumn("b", G.pose_of_vector(F.col("p")))
+    for r in df.collect():
+        assert r.p[4:] == r.t and min(np.abs(np.subtract(r.p[:4], r.q)).max(), np.abs(np.add(r.p[:4], r.q)).max()) < 1e-9
+        assert np.allclose(r.b.rotation, r.r) and r.b.translation == r.t
