@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from plumbline.functions import depth as D
 from plumbline.functions import naming, raster
 from plumbline.operators import checks, mixture, sampling
+from plumbline.operators.store import Store
 from plumbline.plans import views as V
 from plumbline.plans.declare import r6, registrar
+from plumbline.staging import fresh
 
 QUERIES, ORACLE_SQL, query = registrar()
 PIXEL = "least(greatest(floor({0})::INT, 0), {1})"
@@ -162,24 +164,54 @@ def dump_hash_buckets(spark, d):
     return naming.bucket_digest(docs, ["lang"], "name", "n_chars")
 
 
-@query(V.sql(["meas"], "SELECT DISTINCT sensor FROM meas ORDER BY sensor"))
+STORED = "stored AS (SELECT CASE WHEN event_type = 'error' THEN 'faults' ELSE 'rest' END AS sensor, image_id, point2D_idx, 1.0::DOUBLE + user_id % 7 AS estimated_depth FROM kp)"
+
+
+def _stored_sql(body):
+    return V.sql(["kp"], f", {STORED} {body}").replace("\n, stored", ",\nstored")
+
+
+def _store(spark, d):
+    """A store of its own in the shared folder, to which all keypoints are published as two sensors."""
+    store = Store(spark, fresh(spark, "store"))
+    depth = 1.0 + F.col("user_id") % 7
+    rows = V.kp(spark, d).select("image_id", "point2D_idx", F.array(depth).cast("array<float>").alias("modes"), F.array(F.lit(1.0)).cast("array<float>").alias("weights"), depth.alias("estimated_depth"),
+                                 F.lit(None).cast("array<float>").alias("sigmas"), F.lit(None).cast("double").alias("confidence"), "is_sky", (F.col("event_type") == "error").alias("fault"))
+    for sensor, which in (("faults", F.col("fault")), ("rest", ~F.col("fault"))):
+        store.write(rows.filter(which).drop("fault"), {"sensor": sensor, "num_modes": 1, "method": "unimodal", "sigma_space": None, "has_confidence": False})
+    return store
+
+
+@query(_stored_sql("SELECT sensor, 1::BIGINT AS num_modes, 'unimodal' AS method FROM stored GROUP BY sensor"))
 def list_sensors(spark, d):
-    return V.meas(spark, d).select("sensor").distinct().orderBy("sensor")
+    return _store(spark, d).meta().select("sensor", F.col("num_modes").cast("long").alias("num_modes"), "method")
 
 
-@query(V.sql(["meas"], "SELECT sensor, count(*) AS n FROM meas WHERE sensor <> 'R' GROUP BY sensor"))
+@query(_stored_sql("SELECT sensor, count(*) AS n FROM stored WHERE sensor <> 'faults' GROUP BY sensor"))
 def delete_sensor(spark, d):
-    return V.meas(spark, d).filter(F.col("sensor") != "R").groupBy("sensor").agg(F.count("*").alias("n"))
+    store = _store(spark, d)
+    store.delete("faults")
+    return store.rows().groupBy("sensor").agg(F.count("*").alias("n"))
+
+
+@query(_stored_sql("SELECT sensor, count(*) AS n, sum(estimated_depth) AS depths FROM stored WHERE image_id % 2 = 0 AND sensor = 'rest' GROUP BY sensor"))
+def replaced_sensor(spark, d):
+    """One sensor is replaced by the rows of every other image and the other by none; readers see the new versions."""
+    store = _store(spark, d)
+    for sensor, kept in (("rest", "image_id % 2 = 0"), ("faults", "false")):
+        meta = store.sensor_meta(sensor).asDict() | {"method_params": None}
+        store.write(store.rows(sensor).filter(kept), meta, force=True)
+    return store.rows().groupBy("sensor").agg(F.count("*").alias("n"), F.sum("estimated_depth").alias("depths"))
 
 
-@query(V.sql(["meas"], "SELECT count(*) AS n FROM meas WHERE sensor = 'A'"))
+@query(_stored_sql("SELECT count(*) AS n FROM stored WHERE sensor = 'rest'"))
 def count_sensor_rows(spark, d):
-    return V.meas(spark, d).filter("sensor = 'A'").agg(F.count("*").alias("n"))
+    return _store(spark, d).rows("rest").agg(F.count("*").alias("n"))
 
 
-@query(V.sql(["meas"], "SELECT image_id, point2D_idx::BIGINT AS point2D_idx, estimated_depth FROM meas WHERE sensor = 'A' AND image_id = 7"))
+@query(_stored_sql("SELECT image_id, point2D_idx::BIGINT AS point2D_idx, estimated_depth FROM stored WHERE sensor = 'rest' AND image_id = 7"))
 def rows_for_image(spark, d):
-    return V.meas(spark, d).filter("sensor = 'A' AND image_id = 7").select("image_id", F.col("point2D_idx").cast("long").alias("point2D_idx"), "estimated_depth")
+    return _store(spark, d).for_image(7, "rest").select("image_id", F.col("point2D_idx").cast("long").alias("point2D_idx"), "estimated_depth")
 
 
 @query(V.sql(["kp"], "SELECT image_id, count(*) AS n FROM kp GROUP BY image_id"))

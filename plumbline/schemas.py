@@ -1,5 +1,6 @@
 """Schemas of the measurement store and of the tables around it."""
 
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 _f = T.StructField
@@ -44,3 +45,12 @@ BUNDLE = T.StructType(
     ]
 )
 KEYPOINT = T.StructType([_f("image_id", T.LongType()), _f("point2D_idx", T.IntegerType()), *(_f(c, T.FloatType()) for c in ("x", "y", "a11", "a12", "a21", "a22"))])
+TABLES = {"measurements": (MEASUREMENT, "sensor"), "sensor_meta": (SENSOR_META, None), "bundles": (BUNDLE, None), "keypoints": (KEYPOINT, None)}
+
+
+def create_tables(spark: SparkSession, folder: str, database: str = "default") -> None:
+    """The package's tables in the catalogue, with their files under ``folder``; those that exist stay as they are."""
+    for name, (schema, by) in TABLES.items():
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        parts = f" PARTITIONED BY (`{by}`)" if by else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet{parts} LOCATION '{folder.rstrip('/')}/{name}'")

@@ -136,6 +136,13 @@ def scene_depths(scenes: DataFrame, least_conf: float = 1e-4) -> DataFrame:
     return scenes.filter("mapped").select("scene", "frame", "h", "w", depth.alias("estimated_depth"), "conf", "sky_mask", valid.alias("valid"))
 
 
+def scene_intrinsics(scenes: DataFrame) -> DataFrame:
+    """scene and text: the focal lengths and the centre of each scene's 3x3 matrix, as the text of its intrinsics file."""
+    at = {"fx": 0, "fy": 4, "cx": 2, "cy": 5}
+    text = F.to_json(F.struct(*(F.get("intrinsics", i).alias(name) for name, i in at.items())))
+    return scenes.groupBy("scene").agg(F.min_by("intrinsics", "frame").alias("intrinsics")).select("scene", text.alias("text"))
+
+
 def positive_share(depths: DataFrame) -> DataFrame:
     """Per scene: share of valid pixels with a positive depth, and whether all are finite."""
     pairs = depths.select("scene", F.explode(F.arrays_zip("estimated_depth", "valid")).alias("p")).filter("p.valid")

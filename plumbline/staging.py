@@ -23,9 +23,14 @@ def _root(spark: SparkSession) -> str:
     return _own
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing lies at."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
-    path = f"{_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     held = df.sparkSession.read.schema(df.schema).parquet(path)
     held._staged_at = path

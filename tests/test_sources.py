@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import schemas
 from plumbline.functions import depth as D
 from plumbline.functions import geometry as G
 from plumbline.functions import naming
@@ -67,6 +68,8 @@ def test_scenes_and_their_depths(spark, tmp_path):
     for i, r in rows.items():
         z = ((pts[i].astype(np.float32).reshape(-1, 3) - pose[i, :3, 3]) @ pose[i, :3, :3])[:, 2]
         assert np.allclose(r.estimated_depth, z, atol=1e-5) and r.valid == (~sky[i] & (conf[i].astype(np.float32) > 1e-4)).ravel().tolist()
+    (given,) = files.scene_intrinsics(files.read_scenes(spark, str(tmp_path))).collect()
+    assert given.scene == "room" and json.loads(given.text) == {"fx": 1.0, "fy": 1.0, "cx": 0.0, "cy": 0.0}
     share = files.positive_share(depths).first()
     values = [d for r in rows.values() for d, ok in zip(r.estimated_depth, r.valid, strict=True) if ok]
     assert share.positive == pytest.approx(np.mean(np.array(values) > 0)) and share.all_finite
@@ -99,3 +102,17 @@ def test_names_and_matrices(spark):
 def test_missing_sigmas_take_the_given_one(spark):
     rows = spark.createDataFrame([([2.0, 3.0], [0.5, 0.25]), ([2.0, 3.0], None)], "modes array<double>, sigmas array<double>")
     assert [r.s for r in rows.select(D.sigmas_or(F.col("sigmas"), 0.1, F.col("modes")).alias("s")).collect()] == [[0.5, 0.25], [0.1, 0.1]]
+
+
+def test_tables_are_made_once(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS made_once")
+    try:
+        for _ in range(2):
+            schemas.create_tables(spark, str(tmp_path), "made_once")
+            spark.sql("INSERT INTO made_once.keypoints VALUES (1, 2, 0.5, 0.5, 1, 0, 0, 1)")
+        assert spark.table("made_once.keypoints").count() == 2
+        assert {t.name for t in spark.catalog.listTables("made_once")} == set(schemas.TABLES)
+        got = spark.table("made_once.measurements").schema
+        assert {(f.name, f.dataType) for f in got} == {(f.name, f.dataType) for f in schemas.MEASUREMENT}
+    finally:
+        spark.sql("DROP DATABASE made_once CASCADE")
