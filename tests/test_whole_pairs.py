@@ -44,3 +44,9 @@ def test_initial_pairs_of_all_images(spark, folder):
     expected = {(a, b, len(points[a] & points[b])) for a in points for b in points if a < b and len(points[a] & points[b]) >= 2}
     got = registry.QUERIES["initial_pairs"](spark, folder).select("id_a", "id_b", "shared").collect()
     assert len(got) == len(expected) and {tuple(r) for r in got} == expected and any(a > 60 for a, _, _ in expected)
+
+
+def test_blocks_are_not_sent_to_all_tasks(spark, folder):
+    """The sides of the pairs' join are many times the table they come from, which alone the planner knows."""
+    plan = registry.QUERIES["exhaustive_pairs"](spark, folder)._jdf.queryExecution().sparkPlan().toString()
+    assert any("SortMergeJoin" in line and "_p#" in line and "_q#" in line for line in plan.splitlines())
