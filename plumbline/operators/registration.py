@@ -9,6 +9,9 @@ see, or an image that sees very many points, is no large group anywhere.
 Wrong observations are met by hypotheses: each row takes part in those that a hash of it draws, about ``draw`` rows a
 hypothesis, and hypothesis 0 takes all.  One aggregation makes the models of all of them, a second counts for each the rows
 that agree with it, and the best is made again from those rows.
+
+That is how points and images of very many rows are found.  All others are found by ``groups``: their rows are dealt by point or
+image, and a task does the same for whole groups in arrays.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
+from plumbline.operators import groups
 from plumbline.staging import discard, staged
 
 Fit = Callable[[np.ndarray], np.ndarray]
@@ -97,6 +101,21 @@ def robust_models(
     return found
 
 
+def robust_models_by_size(rows: DataFrame, keys: list[str], identity: list[str], terms: list[Column], fit: Fit, error: Callable[[Column], Column], spec: groups.InTask, *options) -> tuple[DataFrame, DataFrame | None]:
+    """``robust_models`` of distinct rows with ``also`` (null for large groups), and the rows of large groups, if any are."""
+    large = staged(rows.groupBy(*keys).count().filter(F.col("count") > groups.MOST_ROWS).select(*keys), "large-groups")
+    if large.isEmpty():
+        discard(large)
+        return staged(groups.models_in_tasks(rows, keys, identity, spec, fit, *options), "models"), None
+    few = F.broadcast(large)  # one row for so many rows
+    whole = staged(rows.join(few, keys, "left_semi").distinct(), "large")
+    by_tables = robust_models(whole, keys, identity, terms, fit, error, *options)
+    in_tasks = groups.models_in_tasks(rows.join(few, keys, "left_anti"), keys, identity, spec, fit, *options)
+    both = staged(in_tasks.unionByName(by_tables.withColumn("also", F.lit(None).cast("double"))), "models")
+    discard(by_tables, large)
+    return both, whole
+
+
 def _upper(n: int) -> list[tuple[int, int]]:
     return [(i, k) for i in range(n) for k in range(i, n)]
 
@@ -123,10 +142,28 @@ def _pixel_error(c: Column) -> Column:
     return G.bound(of)(c)
 
 
+def _apart(c: list[np.ndarray], x: list[np.ndarray]) -> np.ndarray:
+    """``_pixel_error`` of arrays: camera coordinates, and x, y, fx, fy, cx, cy."""
+    at, up, fx, fy, cx, cy = x
+    return np.where(c[2] > 1e-9, np.hypot(fx * c[0] / c[2] + cx - at, fy * c[1] / c[2] + cy - up), np.nan)
+
+
+def _moved(r: np.ndarray, t: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+    """R x + t, with a row a number."""
+    return [r[3 * i] * x[0] + r[3 * i + 1] * x[1] + r[3 * i + 2] * x[2] + t[i] for i in range(3)]
+
+
+def _products(v: list[np.ndarray]) -> np.ndarray:
+    return np.stack([v[i] * v[k] for i, k in _upper(len(v))], axis=1)
+
+
 def _ray() -> tuple[Column, Column]:
     return (F.col("x") - F.col("cx")) / F.col("fx"), (F.col("y") - F.col("cy")) / F.col("fy")
 
 
+PIXEL = ["x", "y", "fx", "fy", "cx", "cy"]
+
+
 # ---- points
 @dataclass
 class Triangulation:
@@ -153,28 +190,57 @@ def triangulate(reproj: DataFrame, frames: DataFrame, options: Triangulation | N
     under ``least_angle`` is left out.  Rows with nulls take no part.
     """
     o = options or Triangulation()
-    rows = reproj.select("frame_id", "point3D_id", "x", "y", "fx", "fy", "cx", "cy").dropna().distinct().join(frames.select("frame_id", "rotation", "translation"), "frame_id")
+    rows = reproj.select("frame_id", "point3D_id", *PIXEL).dropna().join(frames.select("frame_id", "rotation", "translation"), "frame_id")
     u, v = _ray()
     scale = F.sqrt(1 + u * u + v * v)
     third = [F.get("rotation", 6), F.get("rotation", 7), F.get("rotation", 8), F.get("translation", 2)]
-    line = lambda w, k: [(w * third[i] - (F.get("rotation", 3 * k + i) if i < 3 else F.get("translation", k))) / scale for i in range(4)]
-    rows = rows.withColumn("_a", F.array(*line(u, 0))).withColumn("_b", F.array(*line(v, 1)))
+    line = lambda w, k: F.array(*((w * third[i] - (F.get("rotation", 3 * k + i) if i < 3 else F.get("translation", k))) / scale for i in range(4)))
     of = lambda c: [F.get(c, i) for i in range(4)]
-    terms = [p + q for p, q in zip(_outer(of("_a")), _outer(of("_b")), strict=True)]
+    terms = [p + q for p, q in zip(_outer(of(line(u, 0))), _outer(of(line(v, 1))), strict=True)]
     error = lambda m: _pixel_error(G.add(G.apply(F.col("rotation"), m), F.col("translation")))
-    models = robust_models(rows, ["point3D_id"], ["frame_id", "x", "y"], terms, points_of, error, o.most_error, 2, o.hypotheses, o.draw, o.refits)
-    found = models.filter("n_inliers >= 2").withColumnRenamed("model", "xyz")
-
-    seen = rows.join(found.select("point3D_id", "xyz"), "point3D_id").filter(error(F.col("xyz")) <= o.most_error)
-    seen = seen.select("point3D_id", "frame_id", "xyz", G.camera_centre(F.col("rotation"), F.col("translation")).alias("_c"))
-    pivot = seen.groupBy("point3D_id").agg(F.min_by("_c", "frame_id").alias("_p"))
-    angle = G.direction_angle(G.sub(F.col("_c"), F.col("xyz")), G.sub(F.col("_p"), F.col("xyz")))
-    wide = seen.join(pivot, "point3D_id").groupBy("point3D_id").agg(F.max(angle).alias("angle")).filter(F.col("angle") >= o.least_angle)
-    held = staged(found.join(wide, "point3D_id").select("point3D_id", "xyz", "n", "n_inliers", "rms", "angle"), "triangulated")
-    discard(models)
+    numbers = [*(F.col(c) for c in PIXEL), *(F.get("rotation", i) for i in range(9)), *(F.get("translation", i) for i in range(3))]
+    spec = groups.InTask(numbers, _point_terms, _point_error, 3, "frame_id", _widest)
+    models, large = robust_models_by_size(rows, ["point3D_id"], ["frame_id", "x", "y"], terms, points_of, error, spec, o.most_error, 2, o.hypotheses, o.draw, o.refits)
+    found = models.filter("n_inliers >= 2").select("point3D_id", F.col("model").alias("xyz"), "n", "n_inliers", "rms", F.col("also").alias("angle"))
+    if large is not None:
+        seen = large.join(found.select("point3D_id", "xyz"), "point3D_id").filter(error(F.col("xyz")) <= o.most_error)
+        seen = seen.select("point3D_id", "frame_id", "xyz", G.camera_centre(F.col("rotation"), F.col("translation")).alias("_c"))
+        pivot = seen.groupBy("point3D_id").agg(F.min_by("_c", "frame_id").alias("_p"))
+        angle = G.direction_angle(G.sub(F.col("_c"), F.col("xyz")), G.sub(F.col("_p"), F.col("xyz")))
+        wide = seen.join(pivot, "point3D_id").groupBy("point3D_id").agg(F.max(angle).alias("_wide"))
+        found = found.join(wide, "point3D_id", "left").withColumn("angle", F.coalesce("angle", "_wide")).drop("_wide")
+    held = staged(found.filter(F.col("angle") >= o.least_angle), "triangulated")
+    discard(models, *([] if large is None else [large]))
     return held
 
 
+def _point_terms(x: np.ndarray) -> np.ndarray:
+    """Products of the two lines of each observation, as summed for a point."""
+    r, t = x[6:15], x[15:18]
+    u, v = (x[0] - x[4]) / x[2], (x[1] - x[5]) / x[3]
+    scale = np.sqrt(1 + u * u + v * v)
+    third = [r[6], r[7], r[8], t[2]]
+    line = lambda w, k: [(w * third[i] - (r[3 * k + i] if i < 3 else t[k])) / scale for i in range(4)]
+    return _products(line(u, 0)) + _products(line(v, 1))
+
+
+def _point_error(model: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return _apart(_moved(x[6:15], x[15:18], model.T), x[:6])
+
+
+def _widest(x: np.ndarray, frame: np.ndarray, model: np.ndarray, inner: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The largest angle between the ray of the inlier of the smallest frame and another; not a number where there is none."""
+    r, t = x[6:15], x[15:18]
+    ray = np.stack([-(r[i] * t[0] + r[3 + i] * t[1] + r[6 + i] * t[2]) for i in range(3)], axis=1) - model
+    n = np.diff(np.append(first, len(frame)))
+    by = np.lexsort((frame, ~inner, np.repeat(np.arange(len(n)), n)))  # the inlier of the smallest frame comes first in its group
+    pivot = np.repeat(ray[by[first]], n, axis=0)
+    a, b = np.linalg.norm(ray, axis=1), np.linalg.norm(pivot, axis=1)
+    angle = np.degrees(np.arccos(np.clip((ray * pivot).sum(axis=1) / np.maximum(a * b, 1e-300), -1, 1)))
+    widest = np.maximum.reduceat(np.where(inner & (a >= 1e-9) & (b >= 1e-9), angle, -1.0), first)
+    return np.where(widest < 0, np.nan, widest)
+
+
 # ---- images
 @dataclass
 class Resection:
@@ -228,9 +294,8 @@ def resect(reproj: DataFrame, points: DataFrame, options: Resection | None = Non
     ``points`` has point3D_id and xyz; rows with nulls take no part.
     """
     o = options or Resection()
-    rows = reproj.select("frame_id", "point3D_id", "x", "y", "fx", "fy", "cx", "cy").dropna().distinct().join(points.select("point3D_id", "xyz"), "point3D_id")
-    rows = rows.withColumn("_u", _ray()[0]).withColumn("_v", _ray()[1])
-    u, v = F.col("_u"), F.col("_v")
+    rows = reproj.select("frame_id", "point3D_id", *PIXEL).dropna().join(points.select("point3D_id", "xyz"), "point3D_id")
+    u, v = _ray()
     whole = [F.get("xyz", 0), F.get("xyz", 1), F.get("xyz", 2), F.lit(1.0)]
     terms = [t for scale in (None, u, v, u * u + v * v) for t in _outer(whole, scale)]
 
@@ -238,11 +303,24 @@ def resect(reproj: DataFrame, points: DataFrame, options: Resection | None = Non
         return _pixel_error(G.add(G.apply(F.slice(m, 1, 9), F.col("xyz")), F.slice(m, 10, 3)))
 
     least = max(6, o.least_inliers)
-    models = robust_models(rows, ["frame_id"], ["point3D_id", "x", "y"], terms, poses_of, error, o.most_error, 6, o.hypotheses, o.draw, o.refits)
+    spec = groups.InTask([*(F.col(c) for c in PIXEL), *(F.get("xyz", i) for i in range(3))], _pose_terms, _pose_error, 12, "point3D_id")
+    models, large = robust_models_by_size(rows, ["frame_id"], ["point3D_id", "x", "y"], terms, poses_of, error, spec, o.most_error, 6, o.hypotheses, o.draw, o.refits)
+    discard(*([] if large is None else [large]))
     found = models.filter((F.col("n_inliers") >= least) & (F.col("n_inliers") >= o.least_share * F.col("n")))
     return found.select("frame_id", F.slice("model", 1, 9).alias("rotation"), F.slice("model", 10, 3).alias("translation"), "n", "n_inliers", "rms")
 
 
+def _pose_terms(x: np.ndarray) -> np.ndarray:
+    """The four times ten products of each point, as summed for a frame."""
+    u, v = (x[0] - x[4]) / x[2], (x[1] - x[5]) / x[3]
+    w = _products([x[6], x[7], x[8], np.ones_like(u)])
+    return np.concatenate([w, u[:, None] * w, v[:, None] * w, (u * u + v * v)[:, None] * w], axis=1)
+
+
+def _pose_error(model: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return _apart(_moved(model.T[:9], model.T[9:], x[6:9]), x[:6])
+
+
 # ---- pairs of images
 @dataclass
 class TwoView:
