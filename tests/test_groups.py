@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_registration import FRAME, POINT, ROW, frame_rows, pixels, point_rows, some_wrong, world  # noqa: F401
 
 from plumbline.operators import groups, registration
+from plumbline.staging import staged
 
 
 @pytest.mark.parametrize("most", [0, 9])
@@ -35,3 +36,11 @@ def test_drawn_rows_are_those_of_the_tables_hash(spark):
     seeds = np.array([r.s for r in got]).view(np.uint64)
     for h in (1, 128):
         assert groups.hashed(seeds, h).view(np.int64).tolist() == [r[f"h{h}"] for r in got]
+
+
+def test_staged_tables_leave_no_exchanges(spark):
+    files = lambda: sum(f.getName().startswith("shuffle") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = files()
+    held = staged(spark.range(10_000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "count"), "counts")
+    assert files() <= before
+    assert held.count() == 7
