@@ -6,7 +6,7 @@ the nearest centre of each level; all descriptors are indexed, in batches, witho
 
 The inverted file has a row for each word of an image with its weight: occurrences times the log of images over images
 with the word, over the length of the image's vector.  The score of two images is the sum over common words of products
-of weights.  Words of very many images are joined block by block, so none is a task of its own; no pair is left out.
+of weights.  Images are compared block by block, so a word of very many images is no task of its own; no pair is left out.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import pairing, ranks
+from plumbline.operators import blocks, pairing, ranks
 from plumbline.staging import discard, staged
 
 
@@ -123,12 +123,34 @@ def scored_pairs(index: DataFrame, block: int = 1024) -> DataFrame:
     return pairs.groupBy("id_a", "id_b").agg(F.round(F.sum(F.col("c_1") * F.col("c_2")), 9).alias("score"))
 
 
-def retrieved(index: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """image_id, rank (from 1), found_id and score of the ``k`` images nearest to each; ties to the smaller id."""
-    pairs = scored_pairs(index, block)
-    both = pairs.select(F.col("id_a").alias("image_id"), F.col("id_b").alias("found_id"), "score").unionByName(pairs.select(F.col("id_b").alias("image_id"), F.col("id_a").alias("found_id"), "score"))
+def retrieved(index: DataFrame, k: int, block: int | None = None) -> DataFrame:
+    """image_id, rank (from 1), found_id and score of the ``k`` images nearest to each; ties to the smaller id.
+
+    Images are dealt to blocks (of about ``block`` images, if given), and each two blocks are compared by a task, which keeps
+    ``k`` of a block for each image: pairs are scored, not written.
+    """
+    n = blocks.number_of(index.count()) if block is None else -(-index.select("image_id").distinct().count() // block)
+    dealt = index.select("image_id", "word", "weight", F.pmod(F.xxhash64("image_id"), F.lit(max(n, 1))).cast("int").alias("_b"), F.sequence(F.lit(0), F.lit(max(n, 1) - 1)).alias("_with"))
+
+    def kept(a: dict[str, np.ndarray], b: dict[str, np.ndarray]):
+        a, b = ({c: v[by] for c, v in x.items()} for x, by in ((a, np.lexsort((a["word"], a["image_id"]))), (b, np.lexsort((b["image_id"], b["word"])))))
+        ids_a, at_a = np.unique(a["image_id"], return_inverse=True)
+        ids_b, at_b = np.unique(b["image_id"], return_inverse=True)
+        for m in blocks.meetings(at_a, a["word"], at_b, b["word"], len(ids_b)):
+            low = m.key[0] // m.across * m.across
+            sums = np.bincount(m.key - low, a["weight"][m.a] * b["weight"][m.b])
+            key = np.flatnonzero(sums)
+            score = np.rint(sums[key] * 1e9).astype(np.int64)
+            key += low
+            other = ids_a[key // m.across] != ids_b[key % m.across]
+            key, score = key[other], score[other]
+            if len(key):
+                best = blocks.largest(score * m.across - key % m.across, blocks.groups_of(key, m.across), k)
+                yield ids_a[key[best] // m.across], ids_b[key[best] % m.across], sums[key[best] - low]
+
+    near = blocks.by_blocks(dealt, "_with", kept, "image_id long, found_id long, score double").withColumn("score", F.round("score", 9))
     place = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "found_id"))
-    return both.withColumn("rank", place).filter(F.col("rank") <= k).select("image_id", "rank", "found_id", "score")
+    return near.withColumn("rank", place).filter(F.col("rank") <= k).select("image_id", "rank", "found_id", "score")
 
 
 def loop_pairs(images: DataFrame, index: DataFrame, keys: list[str], overlap: int, k: int, every: int = 1, least_score: float = 0.0) -> DataFrame:
