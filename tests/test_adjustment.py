@@ -171,3 +171,19 @@ def test_adjusted_scene_converges(spark, capsys):
     rows = QUERIES["adjusted_scene"](spark, "/root/testdata/sf0.001").collect()
     before, after = (np.array([r[c] for r in rows]) for c in ("error_before", "error_after"))
     assert len(rows) == 150 and after.mean() < before.mean() / 4 and all(a == 0 for r, a in zip(rows, after, strict=True) if r.frame_id <= 2)
+
+
+def test_arrays_of_more_blocks_are_added_up_in_pieces(scene, monkeypatch):
+    """Five thousand frames are still arrays; pieces that tasks add up first give the same step."""
+    reproj, state, depth, _ = scene
+    spark = reproj.sparkSession
+    many = spark.range(5000).select(F.col("id").alias("frame_id"), F.lit(None).cast("long").alias("key"), (F.col("id") % 7).alias("point3D_id"), *(F.array(*[F.lit(1.0)] * n).alias(c) for c, n in (("jf", 6), ("ja", 2), ("jp", 3))), F.lit(0.5).alias("e"))
+    held = packs.packed(many)
+    assert held is not None and len(held.frames) == 5000
+    rows = solver._derivatives(reproj, depth, state, solver.Options(), solver._gauge(state, None))
+    step = lambda: {(r.kind, r.id): r.x for r in packs.step(packs.packed(rows), 1e-2, 4, 1e-6)[0].collect()}
+    whole = step()
+    monkeypatch.setattr(packs, "PIECE", 40)
+    monkeypatch.setattr(packs, "AT_ONCE", 0)
+    pieces = step()
+    assert set(whole) == set(pieces) and all(np.allclose(whole[k], pieces[k], rtol=1e-9, atol=1e-12) for k in whole)
